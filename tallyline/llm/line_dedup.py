@@ -90,12 +90,15 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     rows = _numbered(docs)
     starts = _copies(rows.select(_ROW, "doc_id", "text"), min_lines).select(_ROW, _AT)
     gone = written(starts.select(_ROW, F.explode(F.sequence(F.col(_AT), F.col(_AT) + min_lines - 1)).alias(_AT)).distinct(), "gone")
-    lost = gone.groupBy(_ROW).agg(F.count("*").alias("__lost"))
-    hurt = rows.select(_ROW, "text").join(lost.select(_ROW), _ROW, "left_semi")
-    left = hurt.select(_ROW, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias(_AT, _LINE)).join(gone, [_ROW, _AT], "left_anti")
-    whole = left.groupBy(_ROW).agg(F.sort_array(F.collect_list(F.struct(_AT, _LINE))).alias("__left")).select(_ROW, F.array_join(F.col(f"__left.{_LINE}"), "\n").alias("__new"))
-    change = lost.join(whole, _ROW, "left").select(_ROW, "__lost", F.coalesce("__new", F.lit("")).alias("__new"))
-    out = rows.join(change, _ROW, "left")
+    # removed lines as stretches without gaps; what is left of a text is the slices between them
+    island = F.col(_AT) - F.row_number().over(Window.partitionBy(_ROW).orderBy(_AT))
+    stretches = gone.withColumn("__g", island).groupBy(_ROW, "__g").agg(F.min(_AT).alias("a"), (F.max(_AT) + 1).alias("b"), F.count("*").alias("n"))
+    change = stretches.groupBy(_ROW).agg(F.sum("n").alias("__lost"), F.sort_array(F.collect_list(F.struct("a", "b"))).alias("__cuts"))
+    out = rows.join(change.hint("merge"), _ROW, "left")  # one plan at every size
+    split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+    froms, tos = F.concat(F.array(F.lit(0)), F.col("__cuts.b")), F.concat(F.col("__cuts.a"), F.array(F.size(split)))
+    left = F.flatten(F.transform(F.arrays_zip(froms.alias("x"), tos.alias("y")), lambda z: F.slice(split, z["x"] + 1, z["y"] - z["x"])))
+    new = F.array_join(left, "\n")
     lines = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).cast("bigint")
-    columns = [F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.col("__new")).alias("text") if c == "text" else F.col(f"`{c}`") for c in kept_names]
+    columns = [F.when(F.col("__lost").isNull(), F.col("text")).otherwise(new).alias("text") if c == "text" else F.col(f"`{c}`") for c in kept_names]
     return out.select(*columns, lines.alias(n_lines), F.coalesce("__lost", F.lit(0)).cast("bigint").alias(n_removed))
