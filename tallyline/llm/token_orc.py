@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -17,7 +18,8 @@ from tallyline.llm.common import id_key, key_id, new_path, session, size_of, tex
 END = 0
 #: Bytes of text that one file takes on average, and of encoded ids that one stripe takes.
 FILE_BYTES, STRIPE_BYTES = 64 << 20, 16 << 20
-REMEMBERED = 400_000
+#: Segments that a generation of the memory holds, and characters that are looked up at once.
+REMEMBERED, CHUNK = 400_000, 1 << 20
 #: Between a character that is no white space and ASCII white space no piece of a byte-level BPE reaches.
 SEGMENT = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 #: Other white space, at which the rule above need not hold: such texts are encoded in one piece.
@@ -25,32 +27,72 @@ OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u
 
 
 class SegmentEncoder:
-    """Encodes whole texts with the tokenizers library, each distinct segment between certain boundaries once."""
+    """Encodes whole texts with the tokenizers library, each distinct segment between certain boundaries once.
+
+    Segments are remembered in two generations: when the young one is full it takes the old one's place, and what is met
+    again comes back from there, so frequent segments stay.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
         self.added = [x.content for x in self.t.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        # a byte-level piece has one character for each byte
+        self.width = np.array([len(self.t.id_to_token(i) or "") for i in range(self.t.get_vocab_size())], dtype=np.int64)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
+    def _new(self, segments: list[str]) -> dict[str, bytes]:
+        """Ids of segments not met before. Those that start with white space and end without it are encoded in rows, which the
+        pieces' widths part again."""
+        in_row = [s for s in segments if s[0] in " \n\r\t" and s[-1] not in " \n\r\t"]
+        made = {}
+        for at in range(0, len(in_row), 512):
+            row = in_row[at : at + 512]
+            ids = np.array(self.t.encode_batch_fast(["".join(row)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum(self.width[ids])
+            to = np.cumsum([len(s.encode()) for s in row])
+            cut = np.searchsorted(ends, to)
+            if cut[-1] != len(ids) - 1 or (ends[cut] != to).any():
+                made.update(zip(row, self.whole(row), strict=True))
+                continue
+            raw, cut = ids.tobytes(), ((cut + 1) * 4).tolist()
+            made.update((s, raw[x:y]) for s, x, y in zip(row, [0, *cut[:-1]], cut, strict=True))
+        rest = [s for s in segments if s not in made]
+        return made | dict(zip(rest, self.whole(rest), strict=True)) if rest else made
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        if OTHER_SPACE.search(text) or any(a in text for a in self.added):
-            return self.whole([text])[0]
-        segments = SEGMENT.findall(text)
-        got = list(map(self.known.get, segments))
-        if None in got:
-            new = list({s for s, x in zip(segments, got, strict=True) if x is None})
-            made = dict(zip(new, self.whole(new), strict=True))
-            got = [x if x is not None else made[s] for s, x in zip(segments, got, strict=True)]
-            if len(self.known) + len(made) > REMEMBERED:
-                self.known.clear()
-            self.known.update((s, x) for s, x in made.items() if len(s) <= 64)
-        return b"".join(got)
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
+                size += len(texts[to])
+                to += 1
+            out += self._chunk(texts[at:to])
+            at = to
+        return out
+
+    def _chunk(self, texts: list[str]) -> list[bytes]:
+        odd = [bool(OTHER_SPACE.search(t)) or any(a in t for a in self.added) for t in texts]
+        lists = [[] if o else SEGMENT.findall(t) for t, o in zip(texts, odd, strict=True)]
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        missing = set(chain.from_iterable(lists)).difference(self.young)
+        known = {s: x for s in missing if (x := self.old.get(s)) is not None}
+        known.update(self._new([s for s in missing if s not in known]))
+        self.young.update(known)
+        ids = self.young.__getitem__
+        out = [self.whole([t])[0] if o else b"".join(map(ids, x)) for t, o, x in zip(texts, odd, lists, strict=True)]
+        for s in known:
+            if len(s) > 64:
+                del self.young[s]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -73,7 +115,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, tail = encoder(tokenizer), np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            ids = [e.encode(t.decode("utf-8", "replace")) + tail for t in batch.column("text").to_pylist()]
+            ids = [x + tail for x in e.encode([t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()])]
             sizes = np.array([len(x) // 4 for x in ids], dtype=np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
             offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
