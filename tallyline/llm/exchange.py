@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import id_key, session, size_of, text_bytes
+from tallyline.llm.common import NULL_ID, id_key, session, size_of, text_bytes
 
 BATCH_BYTES = 8 << 20
 
@@ -29,16 +29,28 @@ def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values(["k", "text"], kind="stable", ignore_index=True)
 
 
-def exchange(docs: DataFrame, scatter: Scatter, gather: Gather, finish: Finish, schema: str, extra: tuple[str, ...] = (), batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """docs: doc_id, text and the extra columns. Returns what finish makes of each batch."""
+def exchange(docs: DataFrame, scatter: Scatter, gather: Gather, finish: Finish, schema: str, marks: DataFrame | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """docs: doc_id, text. Returns what finish makes of each batch.
+
+    marks: k, the keys of some documents; they travel to the batches beside the documents, so that no text is shuffled for
+    a join, and arrive as the column "mark".
+    """
     session(docs)
     n = max(1, -(-size_of(docs) // batch_bytes))
-    rows = docs.select(id_key().alias("k"), text_bytes().alias("text"), *extra)
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("k", "text"), F.lit(n)))
+    rows = docs.select(id_key().alias("k"), text_bytes().alias("text"), F.lit(False).alias("is_mark"))
+    if marks is not None:
+        rows = rows.unionByName(marks.select("k", F.lit(b"").alias("text"), F.lit(True).alias("is_mark")))
+    salt = F.xxhash64("k", "text") if marks is None else F.when(F.col("k") == NULL_ID, F.xxhash64("text")).otherwise(F.xxhash64("k"))
+    rows = rows.withColumn("batch", F.pmod(salt, F.lit(n)))
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        marked = set(pdf["k"][pdf["is_mark"]].tolist())
+        out = ordered(pdf[~pdf["is_mark"]])
+        return out.assign(mark=[k in marked for k in out["k"].tolist()])
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
         batch = int(pdf["batch"].iloc[0])
-        sent = list(scatter(ordered(pdf)))
+        sent = list(scatter(own(pdf)))
         return pd.DataFrame({"bucket": [b for b, _ in sent], "batch": batch, "body": [x for _, x in sent]})
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -46,7 +58,7 @@ def exchange(docs: DataFrame, scatter: Scatter, gather: Gather, finish: Finish,
         return pd.DataFrame({"batch": pdf["batch"], "bucket": pdf["bucket"], "body": gather(list(pdf["body"]))})
 
     def close(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return finish(ordered(left), dict(zip(right["bucket"], right["body"], strict=True)))
+        return finish(own(left), dict(zip(right["bucket"], right["body"], strict=True)))
 
     kind = "bucket bigint, batch bigint, body binary"
     sent = rows.groupBy("batch").applyInPandas(send, kind)

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import key_id, mix, pair, size_of, word_table
+from tallyline.llm.common import id_key, key_id, mix, pair, size_of, word_table
 from tallyline.llm.exchange import exchange
 
 #: Smoothing: added to each word's count, and the weight of the word model in the bigram model.
@@ -50,7 +50,7 @@ class Grams:
     def __init__(self, pdf: pd.DataFrame):
         lists = [t.lower().split() for t in pdf["text"]]
         self.n = np.array([len(x) for x in lists], dtype=np.int64)
-        self.target = pdf["target"].to_numpy(dtype=bool)
+        self.target = pdf["mark"].to_numpy(dtype=bool)
         buf = b"".join(b" ".join(x) + b" " for x in lists if x)
         del lists
         _, _, h = word_table(buf)
@@ -96,12 +96,13 @@ def score_documents(docs: DataFrame, target: DataFrame, add: float = ADD, prior:
     the background. Corpus counts are exact; the size of the vocabulary, of which the smoothing takes the logarithm's
     argument, is a HyperLogLog estimate over all documents.
     """
-    chosen = target.select(F.col("doc_id").alias("__t")).where("__t is not null").distinct()
-    marked = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__t"), "left").select("doc_id", "text", F.col("__t").isNotNull().alias("target"))
-    words = marked.select("target", F.explode(F.split(F.col("text"), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
-    s = words.agg(F.count_if("target").alias("nt"), F.count_if(~F.col("target")).alias("nb"), F.approx_count_distinct(F.lower("w"), 0.02).alias("v")).first()
-    d = marked.agg(F.count_if("target").alias("dt"), F.count_if(~F.col("target")).alias("db")).first()
-    totals, texts, vocabulary = np.array([s.nt, s.nb], dtype=np.float64), np.array([d.dt, d.db], dtype=np.float64), s.v + 1
+    chosen = target.select(F.col("doc_id").cast("bigint").alias("k")).where("k is not null").distinct()
+    parts = F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+")
+    outer = F.when(F.element_at("p", 1) == "", 1).otherwise(0) + F.when((F.size("p") > 1) & (F.element_at("p", -1) == ""), 1).otherwise(0)
+    sizes = docs.select(id_key().alias("k"), parts.alias("p")).select("k", (F.size("p") - outer).alias("n"))
+    s = sizes.join(chosen.withColumn("t", F.lit(1)), "k", "left").agg(*[F.coalesce(F.sum(F.when(F.col("t").isNotNull() if x else F.col("t").isNull(), v)), F.lit(0)) for v in (F.col("n").cast("bigint"), F.lit(1)) for x in (True, False)]).first()
+    totals, texts = np.array(s[:2], dtype=np.float64), np.array(s[2:], dtype=np.float64)
+    vocabulary = 1 + docs.select(F.explode(parts).alias("w")).where("w <> ''").agg(F.approx_count_distinct(F.lower("w"), 0.02)).first()[0]
     buckets = max(1, -(-size_of(docs) // bucket_bytes))
 
     def scatter(pdf):
@@ -147,5 +148,5 @@ def score_documents(docs: DataFrame, target: DataFrame, add: float = ADD, prior:
         diff = np.bincount(g.doc, weights=losses[0] - losses[1], minlength=len(g.n)) / np.maximum(g.n, 1)
         return pd.DataFrame({"k": pdf["k"], "n_tokens": g.n, "loss_target": per[0].round(9), "loss_background": per[1].round(9), "difference": diff.round(9)})
 
-    out = exchange(marked, scatter, gather, finish, "k bigint, n_tokens bigint, loss_target double, loss_background double, difference double", extra=("target",))
+    out = exchange(docs, scatter, gather, finish, "k bigint, n_tokens bigint, loss_target double, loss_background double, difference double", marks=chosen)
     return out.select(key_id().alias("doc_id"), "n_tokens", "loss_target", "loss_background", "difference")
