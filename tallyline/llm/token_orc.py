@@ -20,6 +20,8 @@ END = 0
 FILE_BYTES, STRIPE_BYTES = 64 << 20, 16 << 20
 #: Segments that a generation of the memory holds, and characters that are looked up at once.
 REMEMBERED, CHUNK = 400_000, 1 << 20
+#: Rows that go to the writer at once.
+ROWS = 500
 #: Between a character that is no white space and ASCII white space no piece of a byte-level BPE reaches.
 SEGMENT = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 #: Other white space, at which the rule above need not hold: such texts are encoded in one piece.
@@ -50,20 +52,23 @@ class SegmentEncoder:
         """Ids of segments not met before. Those that start with white space and end without it are encoded in rows, which the
         pieces' widths part again."""
         in_row = [s for s in segments if s[0] in " \n\r\t" and s[-1] not in " \n\r\t"]
+        rest = set(segments).difference(in_row) if len(in_row) < len(segments) else ()
         made = {}
         for at in range(0, len(in_row), 512):
             row = in_row[at : at + 512]
-            ids = np.array(self.t.encode_batch_fast(["".join(row)], add_special_tokens=False)[0].ids, dtype="<u4")
+            joined = "".join(row)
+            ids = np.array(self.t.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum(self.width[ids])
-            to = np.cumsum([len(s.encode()) for s in row])
+            to = np.cumsum(list(map(len, row)) if joined.isascii() else [len(s.encode()) for s in row])
             cut = np.searchsorted(ends, to)
             if cut[-1] != len(ids) - 1 or (ends[cut] != to).any():
                 made.update(zip(row, self.whole(row), strict=True))
                 continue
             raw, cut = ids.tobytes(), ((cut + 1) * 4).tolist()
-            made.update((s, raw[x:y]) for s, x, y in zip(row, [0, *cut[:-1]], cut, strict=True))
-        rest = [s for s in segments if s not in made]
-        return made | dict(zip(rest, self.whole(rest), strict=True)) if rest else made
+            made.update(zip(row, [raw[x:y] for x, y in zip([0, *cut[:-1]], cut, strict=True)], strict=True))
+        if rest:
+            made.update(zip(rest, self.whole(list(rest)), strict=True))
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -114,7 +119,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, tail = encoder(tokenizer), np.array([end], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             ids = [x + tail for x in e.encode([t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()])]
             sizes = np.array([len(x) // 4 for x in ids], dtype=np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
@@ -122,7 +127,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end:
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "n_tokens", "ids"])
 
     out = rows.mapInArrow(work, "doc_id bigint, n_tokens bigint, ids array<int>")
-    options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(stripe_bytes)}
+    options = {"compression": "snappy", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(stripe_bytes)}
     out.select(key_id("doc_id").alias("doc_id"), "n_tokens", "ids").write.options(**options).orc(path)
     return path
 
