@@ -145,7 +145,7 @@ class CoTrained:
         """rows: k, words, source, lang, numbers, low, toxic; pool: the same without labels."""
         rows = sorted(rows, key=lambda r: r[0])
         pool = sorted(pool, key=lambda r: r[0])
-        numbers = np.array([r[4] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+        numbers = np.array([r[4] for r in rows], dtype=np.float64) if rows else np.empty((0, 0))
         self.cuts = np.quantile(numbers, np.linspace(0, 1, CUTS + 1)[1:-1], axis=0).T if len(rows) else np.empty((0, 0))
         self.size = 1024 + 64 + (CUTS + 1) * max(1, numbers.shape[1])
         words, pages = [r[1] for r in rows], [self.page(*r[2:5]) for r in rows]

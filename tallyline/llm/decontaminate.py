@@ -126,6 +126,10 @@ class Shard:
                 flat = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.offsets[term[at:to]], counts)
                 start = self.positions[flat] - lead[row]
                 doc = np.searchsorted(self.starts, self.positions[flat], side="right") - 1
+                if slop:  # the rarest term, too, may stand beside its place
+                    shift = np.tile(np.arange(-slop, slop + 1), len(row))
+                    row, doc, start = (np.repeat(x, 2 * slop + 1) for x in (row, doc, start))
+                    start = start + shift
                 for j in range(1, length):
                     column = order[row, j]
                     if slop:
