@@ -165,8 +165,14 @@ class SegmentSource(DataSource):
         return SegmentWriter(self.options["path"])
 
 
+def register(spark: SparkSession) -> None:
+    """Makes the format "queue_segments" known, and lets filters reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(SegmentSource)
+
+
 def write_segments(log: DataFrame, path: str) -> None:
     """Writes log (segment_id, offset, id, op, priority, payload); the rows of a segment come together, in order."""
-    log.sparkSession.dataSource.register(SegmentSource)
+    register(log.sparkSession)
     rows = log.select("segment_id", "offset", "id", "op", "priority", "payload").repartition("segment_id").sortWithinPartitions("segment_id", "offset")
     rows.write.format("queue_segments").mode("append").option("path", path).save()
