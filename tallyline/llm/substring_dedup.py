@@ -19,7 +19,7 @@ from tallyline.llm.exchange import exchange
 
 WINDOW = 13
 #: Bytes of packed strings that one bucket takes on average.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 #: Packed strings hold so many times the bytes of the texts, about.
 EXPANSION = 3
 
