@@ -187,3 +187,153 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     group = both.join(low, "root").select("fp", "low")
     each = first.join(group, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id"))
     return marked.join(each, "fp").select(key_id().alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ---- near-duplicates by a similarity of shingle sets ----
+
+#: Independent fingerprints of a text's set of words, and how many bits may differ in all of them together.
+PRINTS, TOGETHER = 3, 32
+#: Fingerprints of a crowded bucket that one task compares with each other or with as many others.
+BLOCK = 2048
+#: Members of blocks that one task compares on average.
+TASK_MEMBERS = 100_000
+#: Neighbours of a bucket's member that a round reaches; every round reaches this many times further.
+REACH = 8
+_SALTS = mix(np.arange(1, 4097, dtype=np.uint64))
+
+
+def word_set_prints(words: list[bytes], prints: int = PRINTS) -> list[int]:
+    """Fingerprints, as signed integers, in which every distinct word counts once; zeros without words."""
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], dtype=np.uint64)
+    out = []
+    for salt in _SALTS[:prints]:
+        counts = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            part = mix(hashes[at : at + (1 << 16)] ^ salt)
+            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; a shorter text is one shingle, a text without words has none."""
+    n = max(1, len(words) - shingle + 1) if words else 0
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)]
+    return np.unique(np.array(hashes, dtype=np.uint64)).view(np.int64)
+
+
+def _described(docs: DataFrame, prints: int) -> DataFrame:
+    """k, node (a hash of the word sequence) and f0, f1, ..."""
+    names = [f"f{i}" for i in range(prints)]
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            lists = [t.lower().split() for t in pdf["text"]]
+            nodes = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in lists], dtype=np.uint64).view(np.int64)
+            rows = np.array([word_set_prints(w, prints) for w in lists], dtype=np.int64).reshape(-1, prints)
+            yield pd.DataFrame({"k": pdf["k"], "node": nodes} | {c: rows[:, i] for i, c in enumerate(names)})
+
+    return docs.select(id_key().alias("k"), text_bytes().alias("text")).mapInPandas(work, "k bigint, node bigint, " + ", ".join(f"{c} bigint" for c in names))
+
+
+def block_pairs(pdf: pd.DataFrame, names: list[str], low: int, high: int, together: int) -> np.ndarray:
+    """Pairs of members of one block that lie low to high - 1 places apart, in different groups, and within `together` bits.
+
+    A block of one part compares all its members, a block of two parts those of the one with those of the other.
+    """
+    pdf = pdf.sort_values(["key", "i", "j", "node"], kind="stable")
+    key, i, j, part, node, root = (pdf[c].to_numpy() for c in ("key", "i", "j", "part", "node", "root"))
+    begins = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+    block, whole = np.cumsum(begins), i == j
+    prints = pdf[names].to_numpy(dtype=np.int64).view(np.uint64)
+    out = [np.empty((0, 2), dtype=np.int64)]
+    for d in range(low, min(high, int(np.bincount(block).max()))):
+        at = np.flatnonzero((block[:-d] == block[d:]) & (root[:-d] != root[d:]) & (whole[:-d] | (part[:-d] != part[d:])))
+        at = at[np.bitwise_count(prints[at] ^ prints[at + d]).sum(axis=1) <= together]
+        out.append(np.stack([node[at], node[at + d]], axis=1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _meet(names: list[str], low: int, high: int, together: int):
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs = block_pairs(pdf, names, low, high, together)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return work
+
+
+def _blocks(reps: DataFrame, names: list[str], radius: int, block: int) -> DataFrame:
+    """Members of all buckets with company, in blocks: key, i, j, size, part, node and the fingerprints.
+
+    A bucket of more than `block` members is parted by a hash; each two parts meet in one block, so every pair of members
+    meets and no task holds more than two parts.
+    """
+    masks = covering_masks(radius)
+    salted = [F.col(c).bitwiseAND(F.lit(signed(m))).bitwiseXOR(F.lit(int(_SALTS[n * len(masks) + t].view(np.int64)))) for n, c in enumerate(names) for t, m in enumerate(masks)]
+    keyed = reps.select("node", *names, F.explode(F.array(*salted)).alias("key"))
+    crowd = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / block)
+    placed = keyed.join(crowd, "key").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("bigint"))
+    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    return each.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.col("n").alias("size"), "part", "node", *names)
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, prints: int = PRINTS, radius: int = RADIUS, together: int = TOGETHER, block: int = BLOCK, reach: int = REACH) -> DataFrame:
+    """Groups documents linked by a Jaccard similarity of at least `similarity` of their sets of `shingle`-word shingles.
+
+    Candidates come from covering tables over several fingerprints of a text's set of words, which a few changed words move
+    by a few bits only, while one five-word shingle in five may have changed; every candidate is checked exactly. Texts
+    of one word sequence are one node from the start. Rounds compare the members of a bucket with ever further
+    neighbours, but never two of one group, so that a large group of copies takes a number of checks linear in its size.
+
+    docs: doc_id, text; other columns are ignored. Returns doc_id, component_id (the smallest doc_id of the group), one row
+    for each row of docs. A text of fewer words than a shingle is one shingle; texts without words, or null, are
+    copies of each other and of nothing else. Rows with a null doc_id take part, and name a group only if no other row of it
+    has an id (component_id is null then). An empty table gives an empty result.
+    """
+    spark = session(docs)
+    names = [f"f{i}" for i in range(prints)]
+    marked = written(_described(docs, prints), "described")
+    reps = marked.groupBy("node").agg(F.min(key_id()).alias("least"), *[F.min(c).alias(c) for c in names])
+    blocks = written(_blocks(reps.select("node", *names), names, radius, block), "blocks")
+    total, widest = blocks.groupBy("key", "i", "j").count().agg(F.sum("count"), F.max("count")).first()
+    tasks = max(1, -(-(total or 0) // TASK_MEMBERS))
+    sets = None
+    links = spark.createDataFrame([], "a bigint, b bigint")
+    roots, low, high = None, 1, reach + 1
+    while low < (widest or 0):
+        todo = blocks.where(F.col("size") > low)
+        todo = todo.withColumn("root", F.col("node")) if roots is None else todo.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = written(todo.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks))).applyInPandas(_meet(names, low, high, together), "a bigint, b bigint").distinct(), "candidates")
+        if not found.isEmpty():
+            ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
+            sets = _shingle_sets(docs, marked, ends, shingle)
+            left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
+            both = found.join(left, "a").join(right, "b").select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("common"))
+            links = written(links.union(both.where(F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")), "links")
+            roots = components(links)
+        low, high = high, high * reach
+    first = reps.select("node", "least")
+    if roots is None:
+        each = first.select("node", F.col("least").alias("component_id"))
+    else:
+        named = first.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+        each = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return marked.join(each, "node").select(key_id().alias("doc_id"), "component_id")
+
+
+def _shingle_sets(docs: DataFrame, marked: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
+    """node and hashes, the set of its shingles, of the nodes in ends: one text stands for each."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for at in range(0, len(pdf), 64):
+                lists = [t.lower().split() for t in pdf["text"].iloc[at : at + 64]]
+                nodes = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in lists], dtype=np.uint64).view(np.int64)
+                yield pd.DataFrame({"node": nodes, "hashes": [shingle_set(w, shingle) for w in lists]})
+
+    # the smallest key of a node is enough to find one of its texts; other texts of that key drop out by their node
+    wanted = marked.join(ends, "node").groupBy("node").agg(F.min("k").alias("k"))
+    texts = docs.select(id_key().alias("k"), text_bytes().alias("text")).join(wanted.select("k").distinct(), "k", "left_semi")
+    made = texts.mapInPandas(work, "node bigint, hashes array<bigint>").join(ends, "node", "left_semi")
+    return written(made.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")

@@ -411,6 +411,64 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def plain_prints(text):
+    """Each distinct word counts once in every fingerprint."""
+    words = {w.encode() for w in text.lower().split()}
+    out = []
+    for salt in simhash._SALTS[: simhash.PRINTS]:
+        hashes = [int(simhash.mix(np.array([xxhash.xxh64_intdigest(w, 42)], dtype=np.uint64) ^ salt)[0]) for w in words]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    return out
+
+
+def plain_similarity(a, b):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] or sets[1] else 1.0
+
+
+def similar_rows():
+    """Chains of edited copies of long and short texts, and what is odd."""
+    rng, rows = random.Random(21), []
+    for _ in range(25):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([3, 5, 40, 150]))]
+        for _ in range(rng.choice([1, 2, 5, 12])):
+            rows.append(" ".join(words) if rng.random() < 0.8 else "  ".join(words).upper())
+            words = list(words)
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(4000)}"
+    rows += ["", None, " \t", "one", "ONE"]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("block,reach", [(2048, 8), (3, 2)])
+def test_similar_documents(spark, block, reach):
+    rows = similar_rows()
+    prints = {d: plain_prints(t or "") for d, t in rows}
+
+    def linked(a, b):
+        bits = [(x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)]
+        return min(bits) <= 4 and sum(bits) <= simhash.TOGETHER and plain_similarity(rows[a][1] or "", rows[b][1] or "") >= 0.8
+
+    ids = [d for d, _ in rows]
+    sure = union([(a, b) for a in ids for b in ids if a < b and linked(a, b)], ids)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, rows), block=block, reach=reach).collect()}
+    # a table may also bring together what lies outside the radius; the exact check then decides
+    assert all(got[d] == got[sure[d]] for d in ids) and got.keys() == set(ids)
+    full = union([(a, b) for a in ids for b in ids if a < b and plain_similarity(rows[a][1] or "", rows[b][1] or "") >= 0.8], ids)
+    assert all(full[got[d]] == full[d] and got[d] <= d for d in ids)
+    assert sum(got[d] == full[d] for d in ids) >= 0.95 * len(ids)
+
+
+def test_similar_documents_odd(spark):
+    odd = sorted(simhash.similar_documents(frame(spark, ODD_IDS)).collect(), key=str)
+    assert len(odd) == 6 and {r.component_id for r in odd if r.doc_id == 7} == {7}
+    assert sorted(r.component_id for r in odd if r.doc_id is None) == [2, 7] and simhash.similar_documents(frame(spark, [])).count() == 0
+
+
 # ---- 9 ----
 
 
