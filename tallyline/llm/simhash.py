@@ -263,19 +263,20 @@ def _meet(names: list[str], low: int, high: int, together: int):
 
 
 def _blocks(reps: DataFrame, names: list[str], radius: int, block: int) -> DataFrame:
-    """Members of all buckets with company, in blocks: key, i, j, size, part, node and the fingerprints.
+    """Members of all buckets with company, in blocks: key, i, j, size, first (the key's lowest table), part, node and the
+    fingerprints.
 
     A bucket of more than `block` members is parted by a hash; each two parts meet in one block, so every pair of members
     meets and no task holds more than two parts.
     """
     masks = covering_masks(radius)
     salted = [F.col(c).bitwiseAND(F.lit(signed(m))).bitwiseXOR(F.lit(int(_SALTS[n * len(masks) + t].view(np.int64)))) for n, c in enumerate(names) for t, m in enumerate(masks)]
-    keyed = reps.select("node", *names, F.explode(F.array(*salted)).alias("key"))
-    crowd = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = reps.select("node", *names, F.posexplode(F.array(*salted)).alias("table", "key"))
+    crowd = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("table").alias("first")).where("n > 1")
     parts = F.ceil(F.col("n") / block)
     placed = keyed.join(crowd, "key").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("bigint"))
     each = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    return each.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.col("n").alias("size"), "part", "node", *names)
+    return each.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.col("n").alias("size"), "first", "part", "node", *names)
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, prints: int = PRINTS, radius: int = RADIUS, together: int = TOGETHER, block: int = BLOCK, reach: int = REACH) -> DataFrame:
@@ -298,11 +299,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     blocks = written(_blocks(reps.select("node", *names), names, radius, block), "blocks")
     total, widest = blocks.groupBy("key", "i", "j").count().agg(F.sum("count"), F.max("count")).first()
     tasks = max(1, -(-(total or 0) // TASK_MEMBERS))
-    sets = None
     links = spark.createDataFrame([], "a bigint, b bigint")
-    roots, low, high = None, 1, reach + 1
+    # the opening round links next neighbours in the first fingerprint's tables, so that later ones find most groups joined
+    roots, low, high, opening = None, 1, 2, True
     while low < (widest or 0):
         todo = blocks.where(F.col("size") > low)
+        if opening:
+            todo = todo.where(F.col("first") < 2 ** (radius + 1) - 1)
         todo = todo.withColumn("root", F.col("node")) if roots is None else todo.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         found = written(todo.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks))).applyInPandas(_meet(names, low, high, together), "a bigint, b bigint").distinct(), "candidates")
         if not found.isEmpty():
@@ -312,7 +315,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
             both = found.join(left, "a").join(right, "b").select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("common"))
             links = written(links.union(both.where(F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")), "links")
             roots = components(links)
-        low, high = high, high * reach
+        if opening:
+            high, opening = 1 + reach, False
+        else:
+            low, high = high, high * reach
     first = reps.select("node", "least")
     if roots is None:
         each = first.select("node", F.col("least").alias("component_id"))
