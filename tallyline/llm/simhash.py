@@ -17,8 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import id_key, key_id, mix, session, text_bytes, written
+from tallyline.llm.common import NULL_ID, id_key, key_id, mix, pair, session, size_of, text_bytes, word_table, written
 from tallyline.llm.components import components
+from tallyline.llm.exchange import exchange
+from tallyline.llm.lm_scoring import _u, _z, planes, unplanes
 
 SHINGLE, RADIUS = 4, 4
 #: Buckets with more fingerprints than this are not compared within one task but linked by midpoints.
@@ -191,30 +193,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 # ---- near-duplicates by a similarity of shingle sets ----
 
-#: Independent fingerprints of a text's set of words, and how many bits may differ in all of them together.
+#: Fingerprints of a text's set of words and the bits that may differ in them: candidates of an earlier rule, which tests
+#: hold against the groups.
 PRINTS, TOGETHER = 3, 32
-#: Fingerprints of a crowded bucket that one task compares with each other or with as many others.
+#: Members of a crowded bucket that one task compares with each other or with as many others.
 BLOCK = 2048
 #: Members of blocks that one task compares on average.
 TASK_MEMBERS = 100_000
-#: Neighbours of a bucket's member that a round reaches; every round reaches this many times further.
+#: Every round reaches so many times further among a bucket's neighbours.
 REACH = 8
+#: Bytes of text whose shingles one bucket counts, and the leading bits of a shingle's hash by which it does.
+COUNT_BYTES, COUNT_BITS = 32 << 20, 40
 _SALTS = mix(np.arange(1, 4097, dtype=np.uint64))
 
 
-def word_set_prints(words: list[bytes], prints: int = PRINTS) -> list[int]:
-    """Fingerprints, as signed integers, in which every distinct word counts once; zeros without words."""
-    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], dtype=np.uint64)
-    out = []
-    for salt in _SALTS[:prints]:
-        counts = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(hashes), 1 << 16):
-            part = mix(hashes[at : at + (1 << 16)] ^ salt)
-            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0]))
-    return out
-
-
 def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles; a shorter text is one shingle, a text without words has none."""
     n = max(1, len(words) - shingle + 1) if words else 0
@@ -222,69 +214,147 @@ def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
     return np.unique(np.array(hashes, dtype=np.uint64)).view(np.int64)
 
 
-def _described(docs: DataFrame, prints: int) -> DataFrame:
-    """k, node (a hash of the word sequence) and f0, f1, ..."""
-    names = [f"f{i}" for i in range(prints)]
+def _node(words: list[bytes]) -> int:
+    """A hash of the word sequence."""
+    return xxhash.xxh3_64_intdigest(b" ".join(words))
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    """k and node."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            lists = [t.lower().split() for t in pdf["text"]]
-            nodes = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in lists], dtype=np.uint64).view(np.int64)
-            rows = np.array([word_set_prints(w, prints) for w in lists], dtype=np.int64).reshape(-1, prints)
-            yield pd.DataFrame({"k": pdf["k"], "node": nodes} | {c: rows[:, i] for i, c in enumerate(names)})
-
-    return docs.select(id_key().alias("k"), text_bytes().alias("text")).mapInPandas(work, "k bigint, node bigint, " + ", ".join(f"{c} bigint" for c in names))
+            nodes = np.array([_node(t.lower().split()) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"k": pdf["k"], "node": nodes})
+
+    return docs.select(id_key().alias("k"), text_bytes().alias("text")).mapInPandas(work, "k bigint, node bigint")
+
+
+def batch_shingles(lists: list[list[bytes]], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text: the text's number and a hash, sorted by both."""
+    sizes = np.array([len(w) for w in lists], dtype=np.int64)
+    _, _, words = word_table(b"".join(b" ".join(w) + b" " for w in lists if w))
+    room = np.where(sizes > 0, np.maximum(sizes, shingle), 0)  # a shorter text is filled up
+    filled = np.zeros(int(room.sum()), dtype=np.uint64)
+    filled[np.arange(len(words)) + np.repeat((np.cumsum(room) - room) - (np.cumsum(sizes) - sizes), sizes)] = words
+    n = np.where(room > 0, room - shingle + 1, 0)
+    doc = np.repeat(np.arange(len(lists)), n)
+    at = np.arange(len(doc)) + np.repeat((np.cumsum(room) - room) - (np.cumsum(n) - n), n)
+    hashes = filled[at]
+    for j in range(1, shingle):
+        hashes = pair(hashes, filled[at + j])
+    order = np.lexsort((hashes, doc))
+    doc, hashes = doc[order], hashes[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1]))[: len(doc)]
+    return doc[new], hashes[new]
+
+
+def prefix(doc: np.ndarray, hashes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which shingles, rarest first, stand in their text's prefix and in another text: index, place and size of the set.
+
+    Two sets of a similarity s share a shingle among the first n - ceil(s n) + 1 of each in any one order of all shingles.
+    """
+    order = np.lexsort((hashes, counts, doc))
+    sizes = np.bincount(doc)[doc]
+    begins = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(doc)])
+    place = np.arange(len(doc)) - np.repeat(begins, np.diff(np.append(begins, len(doc))))
+    first = (place <= sizes - np.ceil(similarity * sizes - 1e-9)) & (counts[order] > 1)
+    return order[first], place[first], sizes[first]
 
 
-def block_pairs(pdf: pd.DataFrame, names: list[str], low: int, high: int, together: int) -> np.ndarray:
-    """Pairs of members of one block that lie low to high - 1 places apart, in different groups, and within `together` bits.
+def _prefixes(docs: DataFrame, marked: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """node, n (the size of its set), at (the place of a shingle of its prefix) and key (the shingle's hash).
 
-    A block of one part compares all its members, a block of two parts those of the one with those of the other.
+    How many texts hold a shingle is counted for all shingles, by the leading bits of the hash: where two meet, the count
+    is too high for both, which changes the order but not what the prefixes guarantee.
+    """
+    buckets = max(1, -(-size_of(docs) // COUNT_BYTES))
+    edges = (np.arange(buckets, dtype=np.float64) / buckets * 2.0**COUNT_BITS).astype(np.uint64)
+
+    def taken(pdf: pd.DataFrame):
+        texts = pdf["text"][pdf["mark"] | (pdf["k"] == NULL_ID)]
+        lists = [t.lower().split() for t in texts]
+        doc, hashes = batch_shingles(lists, shingle)
+        keys, inverse, counts = np.unique(hashes >> np.uint64(64 - COUNT_BITS), return_inverse=True, return_counts=True)
+        cuts = np.append(np.searchsorted(keys, edges), len(keys)).tolist()
+        return lists, doc, hashes, keys, inverse, counts, [(i, a, z) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if a < z]
+
+    def scatter(pdf: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
+        _, _, _, keys, _, counts, bounds = taken(pdf)
+        for i, a, z in bounds:
+            yield i, _z(planes(np.diff(keys[a:z], prepend=np.uint64(0)).astype("<u8")) + planes(counts[a:z].astype("<u4")))
+
+    def gather(bodies: list[bytes]) -> list[bytes]:
+        keys, counts = [], []
+        for raw in map(_u, bodies):
+            n = len(raw) // 12
+            keys.append(np.cumsum(unplanes(raw[: 8 * n], "<u8"), dtype=np.uint64))
+            counts.append(unplanes(raw[8 * n :], "<u4"))
+        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.minimum(np.bincount(inverse, weights=np.concatenate(counts), minlength=len(every)), 2**32 - 1).astype("<u4")
+        ends = np.cumsum([len(x) for x in keys])
+        return [_z(planes(total[inverse[e - len(x) : e]])) for e, x in zip(ends, keys, strict=True)]
+
+    def finish(pdf: pd.DataFrame, replies: dict[int, bytes]) -> pd.DataFrame:
+        lists, doc, hashes, keys, inverse, _, bounds = taken(pdf)
+        counts = np.zeros(len(keys), dtype=np.int64)
+        for i, a, z in bounds:
+            counts[a:z] = unplanes(_u(replies[i]), "<u4")
+        nodes = np.array([_node(w) for w in lists], dtype=np.uint64).view(np.int64)
+        idx, place, sizes = prefix(doc, hashes, counts[inverse], similarity)
+        return pd.DataFrame({"node": nodes[doc[idx]], "n": sizes, "at": place, "key": hashes[idx].view(np.int64)})
+
+    # one text stands for each node
+    reps = marked.groupBy("node").agg(F.min("k").alias("k")).select("k").distinct()
+    return exchange(docs, scatter, gather, finish, "node bigint, n bigint, at bigint, key bigint", marks=reps).distinct()
+
+
+def block_pairs(pdf: pd.DataFrame, low: int, high: int, similarity: float) -> np.ndarray:
+    """Pairs of members of one block that lie low to high - 1 places apart, in different groups, and can reach the similarity.
+
+    A block of one part compares all its members, a block of two parts those of the one with those of the other. At the first
+    shingle that two sets share, in the order of rarity, no more than what follows in both can be common to them.
     """
     pdf = pdf.sort_values(["key", "i", "j", "node"], kind="stable")
-    key, i, j, part, node, root = (pdf[c].to_numpy() for c in ("key", "i", "j", "part", "node", "root"))
+    key, i, j, part, node, root, n, place = (pdf[c].to_numpy() for c in ("key", "i", "j", "part", "node", "root", "n", "at"))
     begins = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
     block, whole = np.cumsum(begins), i == j
-    prints = pdf[names].to_numpy(dtype=np.int64).view(np.uint64)
     out = [np.empty((0, 2), dtype=np.int64)]
     for d in range(low, min(high, int(np.bincount(block).max()))):
         at = np.flatnonzero((block[:-d] == block[d:]) & (root[:-d] != root[d:]) & (whole[:-d] | (part[:-d] != part[d:])))
-        at = at[np.bitwise_count(prints[at] ^ prints[at + d]).sum(axis=1) <= together]
+        common = np.minimum(n[at] - place[at], n[at + d] - place[at + d])
+        at = at[common >= similarity * (n[at] + n[at + d] - common) - 1e-9]
         out.append(np.stack([node[at], node[at + d]], axis=1))
     return np.unique(np.concatenate(out), axis=0)
 
 
-def _meet(names: list[str], low: int, high: int, together: int):
+def _meet(low: int, high: int, similarity: float):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = block_pairs(pdf, names, low, high, together)
+        pairs = block_pairs(pdf, low, high, similarity)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return work
 
 
-def _blocks(reps: DataFrame, names: list[str], radius: int, block: int) -> DataFrame:
-    """Members of all buckets with company, in blocks: key, i, j, size, first (the key's lowest table), part, node and the
-    fingerprints.
+def _blocks(tokens: DataFrame, block: int) -> DataFrame:
+    """Members of all shingles with company, in blocks: key, i, j, size, part, node, n and at.
 
-    A bucket of more than `block` members is parted by a hash; each two parts meet in one block, so every pair of members
+    A shingle of more than `block` members is parted by a hash; each two parts meet in one block, so every pair of members
     meets and no task holds more than two parts.
     """
-    masks = covering_masks(radius)
-    salted = [F.col(c).bitwiseAND(F.lit(signed(m))).bitwiseXOR(F.lit(int(_SALTS[n * len(masks) + t].view(np.int64)))) for n, c in enumerate(names) for t, m in enumerate(masks)]
-    keyed = reps.select("node", *names, F.posexplode(F.array(*salted)).alias("table", "key"))
-    crowd = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("table").alias("first")).where("n > 1")
-    parts = F.ceil(F.col("n") / block)
-    placed = keyed.join(crowd, "key").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("bigint"))
+    crowd = tokens.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    parts = F.ceil(F.col("size") / block)
+    placed = tokens.join(crowd, "key").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("bigint"))
     each = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    return each.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.col("n").alias("size"), "first", "part", "node", *names)
+    return each.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "size", "part", "node", "n", "at")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, prints: int = PRINTS, radius: int = RADIUS, together: int = TOGETHER, block: int = BLOCK, reach: int = REACH) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = BLOCK, reach: int = REACH) -> DataFrame:
     """Groups documents linked by a Jaccard similarity of at least `similarity` of their sets of `shingle`-word shingles.
 
-    Candidates come from covering tables over several fingerprints of a text's set of words, which a few changed words move
-    by a few bits only, while one five-word shingle in five may have changed; every candidate is checked exactly. Texts
-    of one word sequence are one node from the start. Rounds compare the members of a bucket with ever further
+    Candidates come from a prefix filter: with the shingles of each set in one order, rarest in the corpus first, two sets of
+    that similarity share a shingle of their prefixes, with certainty; every candidate is checked exactly. Texts of one
+    word sequence are one node from the start. Rounds compare those that share a shingle with ever further
     neighbours, but never two of one group, so that a large group of copies takes a number of checks linear in its size.
 
     docs: doc_id, text; other columns are ignored. Returns doc_id, component_id (the smallest doc_id of the group), one row
@@ -293,21 +363,19 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     has an id (component_id is null then). An empty table gives an empty result.
     """
     spark = session(docs)
-    names = [f"f{i}" for i in range(prints)]
-    marked = written(_described(docs, prints), "described")
-    reps = marked.groupBy("node").agg(F.min(key_id()).alias("least"), *[F.min(c).alias(c) for c in names])
-    blocks = written(_blocks(reps.select("node", *names), names, radius, block), "blocks")
+    marked = written(_described(docs), "described")
+    reps = marked.groupBy("node").agg(F.min(key_id()).alias("least"))
+    tokens = written(_prefixes(docs, marked, shingle, similarity), "prefixes")
+    blocks = written(_blocks(tokens, block), "blocks")
     total, widest = blocks.groupBy("key", "i", "j").count().agg(F.sum("count"), F.max("count")).first()
     tasks = max(1, -(-(total or 0) // TASK_MEMBERS))
     links = spark.createDataFrame([], "a bigint, b bigint")
-    # the opening round links next neighbours in the first fingerprint's tables, so that later ones find most groups joined
-    roots, low, high, opening = None, 1, 2, True
+    # the first round links next neighbours, so that later ones find most groups joined
+    roots, low, high = None, 1, 2
     while low < (widest or 0):
         todo = blocks.where(F.col("size") > low)
-        if opening:
-            todo = todo.where(F.col("first") < 2 ** (radius + 1) - 1)
         todo = todo.withColumn("root", F.col("node")) if roots is None else todo.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = written(todo.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks))).applyInPandas(_meet(names, low, high, together), "a bigint, b bigint").distinct(), "candidates")
+        found = written(todo.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks))).applyInPandas(_meet(low, high, similarity), "a bigint, b bigint").distinct(), "candidates")
         if not found.isEmpty():
             ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
             sets = _shingle_sets(docs, marked, ends, shingle)
@@ -315,10 +383,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
             both = found.join(left, "a").join(right, "b").select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("common"))
             links = written(links.union(both.where(F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")), "links")
             roots = components(links)
-        if opening:
-            high, opening = 1 + reach, False
-        else:
-            low, high = high, high * reach
+        low, high = high, high * reach
     first = reps.select("node", "least")
     if roots is None:
         each = first.select("node", F.col("least").alias("component_id"))
@@ -335,7 +400,7 @@ def _shingle_sets(docs: DataFrame, marked: DataFrame, ends: DataFrame, shingle:
         for pdf in frames:
             for at in range(0, len(pdf), 64):
                 lists = [t.lower().split() for t in pdf["text"].iloc[at : at + 64]]
-                nodes = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in lists], dtype=np.uint64).view(np.int64)
+                nodes = np.array([_node(w) for w in lists], dtype=np.uint64).view(np.int64)
                 yield pd.DataFrame({"node": nodes, "hashes": [shingle_set(w, shingle) for w in lists]})
 
     # the smallest key of a node is enough to find one of its texts; other texts of that key drop out by their node

@@ -463,6 +463,28 @@ def test_similar_documents(spark, block, reach):
     assert sum(got[d] == full[d] for d in ids) >= 0.95 * len(ids)
 
 
+def grown_rows(n=60):
+    """Texts, and copies of them with a passage added or with the tail cut."""
+    rng, rows = random.Random(33), []
+    for _ in range(n):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([40, 150, 600]))]
+        cut = int(len(words) * rng.choice([0.05, 0.1, 0.15, 0.19]))
+        new = [f"v{rng.randrange(10**6)}" for _ in range(cut)]
+        rows += [" ".join(x) for x in (words, words + new if rng.random() < 0.5 else words[: len(words) - cut])]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("block,reach", [(2048, 8), (3, 2)])
+def test_grown_and_cut_copies(spark, block, reach):
+    rows = grown_rows() + [(d + 1000, t) for d, t in similar_rows()]
+    ids = [d for d, _ in rows]
+    text = {d: t or "" for d, t in rows}
+    want = union([(a, b) for a in ids for b in ids if a < b and plain_similarity(text[a], text[b]) >= 0.8], ids)
+    assert sum(want[d] != d for d in ids[:120]) >= 50
+    got = simhash.similar_documents(frame(spark, rows), block=block, reach=reach).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_similar_documents_odd(spark):
     odd = sorted(simhash.similar_documents(frame(spark, ODD_IDS)).collect(), key=str)
     assert len(odd) == 6 and {r.component_id for r in odd if r.doc_id == 7} == {7}
