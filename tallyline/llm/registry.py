@@ -37,7 +37,7 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = telephony.store_media(_table(spark, sf_dir, "documents"))
+    path = telephony.store_media(_table(spark, sf_dir, "documents"), pcm_rate=2 * telephony.RATE)
     return telephony.media_features(spark.read.parquet(path))
 
 

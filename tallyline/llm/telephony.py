@@ -185,23 +185,26 @@ def store_media(docs: DataFrame, path: str | None = None, codec: str = "mulaw",
 
 
 def media_features(media: DataFrame, pcm_rate: int = 2 * RATE) -> DataFrame:
-    """doc_id, n_bytes, media -> the digest and features of the stored bytes.
+    """doc_id, n_bytes, media and, where stored, pcm -> the digest and features of the stored bytes.
 
     The features are loudness figures of the resampled expansion, of the payload read as A-law, and of it read as ADPCM blocks.
+    The first are those of the stored pcm where there is such a column (pcm_rate is not used then).
     """
     session(media)
+    stored = ["pcm"] * ("pcm" in media.columns)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             opened = [unwav(m) for m in pdf["media"]]
-            for m, (payload, codec, rate), blocks in zip(pdf["media"], opened, expand_adpcm([padded(p) for p, _, _ in opened]), strict=True):
-                linear = resample(expand(payload, codec), rate, pcm_rate)
+            kept = pdf["pcm"] if stored else [None] * len(pdf)
+            for m, pcm, (payload, codec, rate), blocks in zip(pdf["media"], kept, opened, expand_adpcm([padded(p) for p, _, _ in opened]), strict=True):
+                linear = np.frombuffer(pcm, dtype="<i2") if stored else resample(expand(payload, codec), rate, pcm_rate)
                 feature = "|".join((loudness(linear), loudness(expand(payload, "alaw")), loudness(blocks)))
                 rows.append((len(payload), sha256(payload).hexdigest(), crc32(payload[-UNIT:]), len(m), sha256(m).hexdigest(), feature))
             made = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
             yield pd.concat([pdf[["k", "n_bytes"]].reset_index(drop=True), made], axis=1)
 
-    rows = media.select(id_key().alias("k"), "n_bytes", "media")
+    rows = media.select(id_key().alias("k"), "n_bytes", "media", *stored)
     out = rows.mapInPandas(work, "k bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
     return out.select(key_id().alias("doc_id"), *out.columns[1:])

@@ -232,6 +232,22 @@ def test_media(spark):
     assert telephony.media_features(spark.read.parquet(telephony.store_media(frame(spark, ODD_IDS)))).count() == 6
 
 
+def test_query_stores_pcm(spark, monkeypatch):
+    """The query stores the resampled samples, and its first loudness figures are those of the stored ones."""
+    from tallyline.llm import registry
+
+    paths, store = [], telephony.store_media
+    monkeypatch.setattr(telephony, "store_media", lambda *a, **b: paths.append(store(*a, **b)) or paths[-1])
+    out = {r.doc_id: r.feature for r in registry.op4_telephony(spark, "/root/testdata/sf0.001").collect()}
+    stored = spark.read.parquet(paths[0])
+    for r in stored.collect():
+        payload, codec, rate = telephony.unwav(r.media)
+        assert r.pcm == telephony.resample(telephony.expand(payload, codec), rate, 16000).astype("<i2").tobytes()
+        assert out[r.doc_id].split("|")[0] == telephony.loudness(np.frombuffer(r.pcm, "<i2"))
+    silent = telephony.media_features(stored.withColumn("pcm", F.lit(bytes(8)))).collect()
+    assert {r.feature.split("|")[0] for r in silent} == {"0.0.0.0"}
+
+
 # ---- 5 ----
 
 
