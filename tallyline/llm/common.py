@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -15,6 +19,11 @@ from pyspark.sql import functions as F
 PACKAGE = Path(__file__).resolve().parents[1]
 #: Stands for a null doc_id inside Python code; such documents sort before all others.
 NULL_ID = -(2**63)
+#: A key is hot if it holds over one in HOT_SHARE of the rows (and over HOT_LEAST), so at most HOT_SHARE keys are; the rows
+#: of a hot key are spread over SPREAD tasks.
+HOT_SHARE, HOT_LEAST, SPREAD = 2000, 1000, 32
+#: Rows of a table that is broadcast after they were counted.
+SMALL = 2_000_000
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -38,10 +47,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine only, a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = getattr(sc, "_tallyline_shared", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="tallyline-shared-")
@@ -50,12 +61,33 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def new_path(spark: SparkSession, label: str) -> str:
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that were written inside, but for those made with outer=True, and lets shuffles go that they needed."""
+    own: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), own))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in own:
+            remove_path(spark, path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def new_path(spark: SparkSession, label: str, outer: bool = False) -> str:
     """A fresh path in the shared folder; the file system removes it when the driver ends."""
     path = f"{shared_dir(spark)}/tallyline/{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    scopes = _SCOPES.get()[:-1] if outer else _SCOPES.get()
+    if scopes:
+        scopes[-1].append(path)
     return path
 
 
@@ -65,9 +97,9 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, path: str | None = None, outer: bool = False) -> DataFrame:
     """Cuts the lineage: writes the frame as Parquet to the shared folder and reads it back."""
-    path = path or new_path(df.sparkSession, label)
+    path = path or new_path(df.sparkSession, label, outer)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -92,6 +124,45 @@ def size_of(df: DataFrame, name: str = "text") -> int:
     return int(df.agg(F.sum(F.coalesce(F.octet_length(F.col(name)), F.lit(0)).cast("bigint") + 16)).first()[0] or 0)
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs but those whose doc_id is in gone (doc_id; a null means the null ids). Written first and counted, so
+    that a short list is broadcast and no text is shuffled."""
+    gone = written(gone.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(counted(gone), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: list[str], by: Column) -> DataFrame:
+    """rows joined with small by key. small: a written table with one row for each key and __n, how many rows have it.
+
+    The rows of a hot key are dealt over SPREAD tasks by the column `by`, and its row of small is copied to each; the list of
+    hot keys is broadcast, for there are at most HOT_SHARE of them. __n is left out of the result.
+    """
+    total, most = small.agg(F.sum("__n"), F.max("__n")).first()
+    least = max(HOT_LEAST, (total or 0) // HOT_SHARE)
+    if (most or 0) <= least:
+        return rows.join(small.drop("__n"), key)
+    hot = F.broadcast(small.where(F.col("__n") > least).select(*key, F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).otherwise(0)
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, key, "left").withColumn("__salt", salt).drop("__hot")
+    right = small.join(hot, key, "left").withColumn("__salt", F.explode(salts)).drop("__hot", "__n")
+    return left.join(right, [*key, "__salt"]).drop("__salt")
+
+
+def text_slices(pdf, most: int = 4 << 20, name: str = "text") -> Iterator:
+    """Parts of a batch of rows with about so many bytes of text."""
+    at, ends = 0, np.cumsum([len(t) + 64 for t in pdf[name]])
+    while at < len(pdf):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield pdf.iloc[at:to]
+        at = to
+
+
 # ---- vectorised hashes of words ----
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

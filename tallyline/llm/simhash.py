@@ -17,10 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import NULL_ID, id_key, key_id, mix, pair, session, size_of, text_bytes, word_table, written
+from tallyline.llm.common import NULL_ID, counted, id_key, key_id, mix, pair, released, session, spread_join, text_bytes, text_slices, word_table, written
 from tallyline.llm.components import components
-from tallyline.llm.exchange import exchange
-from tallyline.llm.lm_scoring import _u, _z, planes, unplanes
 
 SHINGLE, RADIUS = 4, 4
 #: Buckets with more fingerprints than this are not compared within one task but linked by midpoints.
@@ -181,14 +179,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     and name a group only if no other row of it has an id (component_id is null then). An empty table gives an empty result.
     """
     marked = written(fingerprints(docs, shingle), "fingerprints")
-    first = marked.groupBy("fp").agg(F.min(key_id()).alias("least"))
+    first = written(marked.groupBy("fp").agg(F.min(key_id()).alias("least"), F.count("*").alias("__n")), "first")
     roots = components(fingerprint_links(first.select("fp"), radius, bucket))
     both = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
-    linked = both.join(first, "fp")
+    linked = both.join(first.select("fp", "least"), "fp")
     low = linked.groupBy("root").agg(F.min("least").alias("low"))
     group = both.join(low, "root").select("fp", "low")
-    each = first.join(group, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id"))
-    return marked.join(each, "fp").select(key_id().alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    each = written(first.join(group, "fp", "left").select("fp", "__n", F.coalesce("low", "least").alias("component_id")), "each")
+    return spread_join(marked, each, ["fp"], F.col("k")).select(key_id().alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # ---- near-duplicates by a similarity of shingle sets ----
@@ -196,14 +194,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 #: Fingerprints of a text's set of words and the bits that may differ in them: candidates of an earlier rule, which tests
 #: hold against the groups.
 PRINTS, TOGETHER = 3, 32
-#: Members of a crowded bucket that one task compares with each other or with as many others.
+#: Members of a crowded list that are compared at once.
 BLOCK = 2048
-#: Members of blocks that one task compares on average.
+#: Members of lists that one task compares on average.
 TASK_MEMBERS = 100_000
-#: Every round reaches so many times further among a bucket's neighbours.
-REACH = 8
-#: Bytes of text whose shingles one bucket counts, and the leading bits of a shingle's hash by which it does.
-COUNT_BYTES, COUNT_BITS = 32 << 20, 40
+#: Every round reaches so many times further among a list's neighbours.
+REACH = 32
+#: Shingles are counted by so many leading bits of their hashes: a table of fixed size, in slices.
+COUNT_BITS, SLICE_BITS = 21, 14
 _SALTS = mix(np.arange(1, 4097, dtype=np.uint64))
 
 
@@ -219,19 +217,8 @@ def _node(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words))
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    """k and node."""
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            nodes = np.array([_node(t.lower().split()) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"k": pdf["k"], "node": nodes})
-
-    return docs.select(id_key().alias("k"), text_bytes().alias("text")).mapInPandas(work, "k bigint, node bigint")
-
-
-def batch_shingles(lists: list[list[bytes]], shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each text: the text's number and a hash, sorted by both."""
+def shingles(lists: list[list[bytes]], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of each text in order: the text's number and a hash."""
     sizes = np.array([len(w) for w in lists], dtype=np.int64)
     _, _, words = word_table(b"".join(b" ".join(w) + b" " for w in lists if w))
     room = np.where(sizes > 0, np.maximum(sizes, shingle), 0)  # a shorter text is filled up
@@ -243,14 +230,61 @@ def batch_shingles(lists: list[list[bytes]], shingle: int) -> tuple[np.ndarray,
     hashes = filled[at]
     for j in range(1, shingle):
         hashes = pair(hashes, filled[at + j])
+    return doc, hashes
+
+
+def batch_shingles(lists: list[list[bytes]], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text: the text's number and a hash, sorted by both."""
+    doc, hashes = shingles(lists, shingle)
     order = np.lexsort((hashes, doc))
     doc, hashes = doc[order], hashes[order]
     new = np.append(True, (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1]))[: len(doc)]
     return doc[new], hashes[new]
 
 
+def _described(docs: DataFrame, shingle: int) -> DataFrame:
+    """k, th (a hash of the text) and node for each document, and rows of slices of this task's shingle counts."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        for pdf in frames:
+            for part in text_slices(pdf):
+                lists = [t.lower().split() for t in part["text"]]
+                nodes = np.array([_node(w) for w in lists], dtype=np.uint64).view(np.int64)
+                counts += np.bincount((shingles(lists, shingle)[1] >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
+                yield pd.DataFrame({"k": part["k"], "th": part["th"], "node": nodes, "slice": -1, "body": None})
+        for i, own in enumerate(np.split(counts, 1 << (COUNT_BITS - SLICE_BITS))):
+            if own.any():
+                yield pd.DataFrame({"k": [0], "th": [0], "node": [0], "slice": [i], "body": [own.astype("<i8").tobytes()]})
+
+    rows = docs.select(id_key().alias("k"), F.xxhash64(text_bytes()).alias("th"), text_bytes().alias("text"))
+    return rows.mapInPandas(work, "k bigint, th bigint, node bigint, slice int, body binary")
+
+
+def _class_counts(described: DataFrame) -> np.ndarray:
+    """How often the shingles of each class stand in all texts. A slice's rows are added as they stream through its task."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total = None, None
+        for pdf in frames:
+            for i, body in zip(pdf["slice"].tolist(), pdf["body"], strict=True):
+                if i != now:
+                    if total is not None:
+                        yield pd.DataFrame({"slice": [now], "body": [total.tobytes()]})
+                    now, total = i, np.zeros(1 << SLICE_BITS, dtype=np.int64)
+                total += np.frombuffer(body, "<i8")
+        if total is not None:
+            yield pd.DataFrame({"slice": [now], "body": [total.tobytes()]})
+
+    rows = described.where("slice >= 0").select("slice", "body").repartition("slice").sortWithinPartitions("slice")
+    out = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
+    for r in rows.mapInPandas(work, "slice int, body binary").toLocalIterator():  # a table of fixed size
+        out[r.slice << SLICE_BITS : (r.slice + 1) << SLICE_BITS] = np.minimum(np.frombuffer(r.body, "<i8"), 2**32 - 1)
+    return out
+
+
 def prefix(doc: np.ndarray, hashes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which shingles, rarest first, stand in their text's prefix and in another text: index, place and size of the set.
+    """Which shingles, rarest first, stand in their text's prefix: index, place and size of the set.
 
     Two sets of a similarity s share a shingle among the first n - ceil(s n) + 1 of each in any one order of all shingles.
     """
@@ -258,95 +292,191 @@ def prefix(doc: np.ndarray, hashes: np.ndarray, counts: np.ndarray, similarity:
     sizes = np.bincount(doc)[doc]
     begins = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(doc)])
     place = np.arange(len(doc)) - np.repeat(begins, np.diff(np.append(begins, len(doc))))
-    first = (place <= sizes - np.ceil(similarity * sizes - 1e-9)) & (counts[order] > 1)
+    first = place <= sizes - np.ceil(similarity * sizes - 1e-9)
     return order[first], place[first], sizes[first]
 
 
-def _prefixes(docs: DataFrame, marked: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, similarity: float) -> DataFrame:
     """node, n (the size of its set), at (the place of a shingle of its prefix) and key (the shingle's hash).
 
-    How many texts hold a shingle is counted for all shingles, by the leading bits of the hash: where two meet, the count
-    is too high for both, which changes the order but not what the prefixes guarantee.
+    The order of all shingles is by the count of their class, then by their hash: shingles that meet in a class seem more
+    frequent than they are, which changes the order but not what the prefixes guarantee. A node that comes again in a task
+    is passed over; the rows may still hold a node several times.
     """
-    buckets = max(1, -(-size_of(docs) // COUNT_BYTES))
-    edges = (np.arange(buckets, dtype=np.float64) / buckets * 2.0**COUNT_BITS).astype(np.uint64)
-
-    def taken(pdf: pd.DataFrame):
-        texts = pdf["text"][pdf["mark"] | (pdf["k"] == NULL_ID)]
-        lists = [t.lower().split() for t in texts]
-        doc, hashes = batch_shingles(lists, shingle)
-        keys, inverse, counts = np.unique(hashes >> np.uint64(64 - COUNT_BITS), return_inverse=True, return_counts=True)
-        cuts = np.append(np.searchsorted(keys, edges), len(keys)).tolist()
-        return lists, doc, hashes, keys, inverse, counts, [(i, a, z) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if a < z]
-
-    def scatter(pdf: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
-        _, _, _, keys, _, counts, bounds = taken(pdf)
-        for i, a, z in bounds:
-            yield i, _z(planes(np.diff(keys[a:z], prepend=np.uint64(0)).astype("<u8")) + planes(counts[a:z].astype("<u4")))
-
-    def gather(bodies: list[bytes]) -> list[bytes]:
-        keys, counts = [], []
-        for raw in map(_u, bodies):
-            n = len(raw) // 12
-            keys.append(np.cumsum(unplanes(raw[: 8 * n], "<u8"), dtype=np.uint64))
-            counts.append(unplanes(raw[8 * n :], "<u4"))
-        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.minimum(np.bincount(inverse, weights=np.concatenate(counts), minlength=len(every)), 2**32 - 1).astype("<u4")
-        ends = np.cumsum([len(x) for x in keys])
-        return [_z(planes(total[inverse[e - len(x) : e]])) for e, x in zip(ends, keys, strict=True)]
-
-    def finish(pdf: pd.DataFrame, replies: dict[int, bytes]) -> pd.DataFrame:
-        lists, doc, hashes, keys, inverse, _, bounds = taken(pdf)
-        counts = np.zeros(len(keys), dtype=np.int64)
-        for i, a, z in bounds:
-            counts[a:z] = unplanes(_u(replies[i]), "<u4")
-        nodes = np.array([_node(w) for w in lists], dtype=np.uint64).view(np.int64)
-        idx, place, sizes = prefix(doc, hashes, counts[inverse], similarity)
-        return pd.DataFrame({"node": nodes[doc[idx]], "n": sizes, "at": place, "key": hashes[idx].view(np.int64)})
-
-    # one text stands for each node
-    reps = marked.groupBy("node").agg(F.min("k").alias("k")).select("k").distinct()
-    return exchange(docs, scatter, gather, finish, "node bigint, n bigint, at bigint, key bigint", marks=reps).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size: 4 bytes for each class
 
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for pdf in frames:
+            for part in text_slices(pdf):
+                lists, nodes = [], []
+                for t in part["text"]:
+                    words = t.lower().split()
+                    node = _node(words)
+                    if words and node not in seen:
+                        seen.add(node)
+                        lists.append(words)
+                        nodes.append(node)
+                if lists:
+                    doc, hashes = batch_shingles(lists, shingle)
+                    idx, place, sizes = prefix(doc, hashes, shared.value[(hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], similarity)
+                    yield pd.DataFrame({"node": np.array(nodes, dtype=np.uint64).view(np.int64)[doc[idx]], "n": sizes, "at": place, "key": hashes[idx].view(np.int64)})
 
-def block_pairs(pdf: pd.DataFrame, low: int, high: int, similarity: float) -> np.ndarray:
-    """Pairs of members of one block that lie low to high - 1 places apart, in different groups, and can reach the similarity.
+    return docs.select(text_bytes().alias("text")).mapInPandas(work, "node bigint, n bigint, at bigint, key bigint")
 
-    A block of one part compares all its members, a block of two parts those of the one with those of the other. At the first
-    shingle that two sets share, in the order of rarity, no more than what follows in both can be common to them.
-    """
-    pdf = pdf.sort_values(["key", "i", "j", "node"], kind="stable")
-    key, i, j, part, node, root, n, place = (pdf[c].to_numpy() for c in ("key", "i", "j", "part", "node", "root", "n", "at"))
-    begins = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
-    block, whole = np.cumsum(begins), i == j
+
+def _in_company(tokens: DataFrame) -> DataFrame:
+    """The rows of prefixes whose shingle stands in the prefixes of several nodes, each once, with size, the number of nodes."""
+    crowd = tokens.groupBy("key").agg(F.min("node").alias("__a"), F.max("node").alias("__b"), F.count("*").alias("__n")).where("__a <> __b").select("key", "__n")
+    some = written(spread_join(tokens, written(crowd, "crowd"), ["key"], F.col("node")).distinct(), "some")
+    return spread_join(some, written(some.groupBy("key").agg(F.count("*").alias("size"), F.count("*").alias("__n")), "sizes"), ["key"], F.col("node"))
+
+
+def can_reach(n1, at1, n2, at2, similarity: float):
+    """At the first shingle that two sets share, in the order of rarity, no more than what follows in both can be common to them."""
+    common = np.minimum(n1 - at1, n2 - at2)
+    return common >= similarity * (n1 + n2 - common) - 1e-9
+
+
+def block_pairs(pdf: pd.DataFrame, low: int, high: int, similarity: float) -> np.ndarray:
+    """Pairs of members of one list (key, part) that lie low to high - 1 places apart, in different groups, and can reach the similarity."""
+    pdf = pdf.assign(order=mix(pdf["node"].to_numpy(dtype=np.int64).view(np.uint64) ^ mix(pdf["salt"].to_numpy(dtype=np.int64).view(np.uint64))))
+    pdf = pdf.sort_values(["key", "part", "order"], kind="stable")
+    key, part, node, root, n, at = (pdf[c].to_numpy() for c in ("key", "part", "node", "root", "n", "at"))
+    begins = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+    block = np.cumsum(begins)
     out = [np.empty((0, 2), dtype=np.int64)]
     for d in range(low, min(high, int(np.bincount(block).max()))):
-        at = np.flatnonzero((block[:-d] == block[d:]) & (root[:-d] != root[d:]) & (whole[:-d] | (part[:-d] != part[d:])))
-        common = np.minimum(n[at] - place[at], n[at + d] - place[at + d])
-        at = at[common >= similarity * (n[at] + n[at + d] - common) - 1e-9]
-        out.append(np.stack([node[at], node[at + d]], axis=1))
+        x = np.flatnonzero((block[:-d] == block[d:]) & (root[:-d] != root[d:]))
+        x = x[can_reach(n[x], at[x], n[x + d], at[x + d], similarity)]
+        out.append(np.stack([np.minimum(node[x], node[x + d]), np.maximum(node[x], node[x + d])], axis=1))
     return np.unique(np.concatenate(out), axis=0)
 
 
-def _meet(low: int, high: int, similarity: float):
+PAIRS = "a bigint, b bigint"
+
+
+def _neighbours(alive: DataFrame, turn: int, low: int, high: int, block: int, similarity: float) -> DataFrame:
+    """Candidates among members low to high - 1 places apart. A list of at most `block` members keeps its order, so that all its
+    pairs come up in the end; a longer one is cut into parts anew in every round."""
+    tasks = max(1, -(-alive.count() // TASK_MEMBERS))
+    crowded, side = F.col("size") > block, F.col("key").bitwiseAND(F.lit(1))
+    salt = side + F.when(crowded, F.lit(2 * turn + 2)).otherwise(0)
+    part = F.when(crowded, F.pmod(F.xxhash64("node", side, F.lit(turn)), F.ceil(F.col("size") / block))).otherwise(0).cast("bigint")
+    rows = alive.where(F.col("size") > low).select("key", part.alias("part"), salt.cast("bigint").alias("salt"), "node", "root", "n", "at")
+
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = block_pairs(pdf, low, high, similarity)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return work
+    return rows.groupBy(F.pmod(F.xxhash64("key", "part"), F.lit(tasks))).applyInPandas(work, PAIRS).distinct()
 
 
-def _blocks(tokens: DataFrame, block: int) -> DataFrame:
-    """Members of all shingles with company, in blocks: key, i, j, size, part, node, n and at.
+def _strangers(alive: DataFrame, block: int, similarity: float) -> DataFrame:
+    """Candidates among all members of the lists of more than `block` members that are not of one group.
 
-    A shingle of more than `block` members is parted by a hash; each two parts meet in one block, so every pair of members
-    meets and no task holds more than two parts.
+    Each member has one home part. Members of all groups but the list's largest visit every part, so that a list of which
+    most members are joined already costs rows in proportion to its length. The visitors stream past a part's members.
     """
-    crowd = tokens.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    parts = F.ceil(F.col("size") / block)
-    placed = tokens.join(crowd, "key").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("bigint"))
-    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    return each.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "size", "part", "node", "n", "at")
+    lists = alive.where(F.col("size") > block).withColumn("parts", F.ceil(F.col("size") / block))
+    largest = lists.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).getField("root").alias("largest"))
+    home = lists.select("key", F.pmod(F.xxhash64("node"), F.col("parts")).cast("bigint").alias("part"), F.lit(False).alias("visits"), "node", "root", "n", "at")
+    visits = lists.join(largest, "key").where("root <> largest").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("visits"), "node", "root", "n", "at")
+    rows = written(home.union(visits), "visits")
+    tasks = max(1, -(-rows.count() // TASK_MEMBERS))
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, own = None, []
+        for pdf in frames:
+            cut = (pdf["key"].diff().ne(0) | pdf["part"].diff().ne(0) | (pdf["visits"] != pdf["visits"].shift())).cumsum()
+            for _, some in pdf.groupby(cut.to_numpy(), sort=False):
+                place = (int(some["key"].iloc[0]), int(some["part"].iloc[0]))
+                if place != now:
+                    now, own = place, []
+                if not some["visits"].iloc[0]:
+                    own.append(some)
+                    continue
+                if not own:
+                    continue
+                h = pd.concat(own) if len(own) > 1 else own[0]
+                own = [h]
+                node, root, n, at = (h[c].to_numpy() for c in ("node", "root", "n", "at"))
+                for i in range(0, len(some), 256):
+                    v = some.iloc[i : i + 256]
+                    vn, vr, vs, va = (v[c].to_numpy()[:, None] for c in ("node", "root", "n", "at"))
+                    x, y = np.nonzero((vr != root) & can_reach(vs, va, n, at, similarity))
+                    pairs = np.unique(np.stack([np.minimum(vn[x, 0], node[y]), np.maximum(vn[x, 0], node[y])], axis=1), axis=0)
+                    if len(pairs):
+                        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.repartition(tasks, "key", "part").sortWithinPartitions("key", "part", "visits").mapInPandas(work, PAIRS).distinct()
+
+
+class _Checker:
+    """Checks candidates exactly, by their texts' sets of shingles; a set is made once."""
+
+    def __init__(self, docs: DataFrame, first: DataFrame, shingle: int, similarity: float):
+        self.docs, self.first, self.shingle, self.similarity, self.sets = docs, first, shingle, similarity, None
+
+    def _make(self, ends: DataFrame) -> None:
+        shingle = self.shingle
+
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                for part in text_slices(pdf, 1 << 20):
+                    lists = [t.lower().split() for t in part["text"]]
+                    nodes = np.array([_node(w) for w in lists], dtype=np.uint64).view(np.int64)
+                    yield pd.DataFrame({"node": nodes, "hashes": [shingle_set(w, shingle) for w in lists]})
+
+        # the smallest key of a node is enough to find one of its texts; other texts of that key drop out by their node
+        keys = written(self.first.join(ends, "node").select("k").distinct(), "keys")
+        texts = self.docs.select(id_key().alias("k"), text_bytes().alias("text")).join(counted(keys), "k", "left_semi")
+        made = texts.mapInPandas(work, "node bigint, hashes array<bigint>").join(counted(ends), "node", "left_semi")
+        new = written(made.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+        self.sets = new if self.sets is None else self.sets.union(new)
+
+    def links(self, found: DataFrame) -> DataFrame:
+        ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
+        ends = written(ends if self.sets is None else ends.join(self.sets.select("node"), "node", "left_anti"), "ends")
+        if not ends.isEmpty():
+            self._make(ends)
+        left, right = (self.sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
+        both = counted(found).join(left, "a").join(right, "b")
+        both = both.select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("common"))
+        return both.where(F.col("common") >= self.similarity * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+
+
+def _groups(docs: DataFrame, shingle: int, similarity: float, block: int, reach: int) -> tuple[DataFrame, DataFrame]:
+    """k, th and node of each document; and for each node its group's smallest node, root, if it is not its own."""
+    described = written(_described(docs, shingle), "described")
+    marked = described.where("slice < 0").select("k", "th", "node")
+    first = written(marked.groupBy("node").agg(F.min("k").alias("k")), "firsts")
+    tokens = written(_prefixes(docs, _class_counts(described), shingle, similarity), "prefixes")
+    alive = written(_in_company(tokens).withColumn("root", F.col("node")), "members")
+    widest = alive.agg(F.max("size")).first()[0] or 0
+    check, roots = _Checker(docs, first, shingle, similarity), None
+
+    def joined(found: DataFrame) -> bool:
+        nonlocal roots, alive
+        found = written(found, "candidates")
+        if found.isEmpty():
+            return False
+        links = check.links(found)
+        roots = components(links if roots is None else links.union(roots.select("node", "root")))
+        every = alive.drop("root").join(counted(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # a list whose members are all of one group is done
+        mixed = every.groupBy("key").agg(F.min("root").alias("__a"), F.max("root").alias("__b")).where("__a <> __b").select("key")
+        alive = written(every.join(counted(written(mixed, "mixed")), "key", "left_semi").select(*alive.columns), "members")
+        return True
+
+    # the first round links next neighbours, so that later ones find most groups joined
+    turn, low, high = 0, 1, 2
+    while low < min(widest, block) and not alive.isEmpty():
+        joined(_neighbours(alive, turn, low, high, block, similarity))
+        turn, low, high = turn + 1, high, high * reach
+    if widest > block and not alive.isEmpty():
+        joined(_strangers(alive, block, similarity))
+    return marked, roots if roots is not None else first.select("node", F.col("node").alias("root")).limit(0)
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = BLOCK, reach: int = REACH) -> DataFrame:
@@ -362,49 +492,29 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     copies of each other and of nothing else. Rows with a null doc_id take part, and name a group only if no other row of it
     has an id (component_id is null then). An empty table gives an empty result.
     """
-    spark = session(docs)
-    marked = written(_described(docs), "described")
-    reps = marked.groupBy("node").agg(F.min(key_id()).alias("least"))
-    tokens = written(_prefixes(docs, marked, shingle, similarity), "prefixes")
-    blocks = written(_blocks(tokens, block), "blocks")
-    total, widest = blocks.groupBy("key", "i", "j").count().agg(F.sum("count"), F.max("count")).first()
-    tasks = max(1, -(-(total or 0) // TASK_MEMBERS))
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    # the first round links next neighbours, so that later ones find most groups joined
-    roots, low, high = None, 1, 2
-    while low < (widest or 0):
-        todo = blocks.where(F.col("size") > low)
-        todo = todo.withColumn("root", F.col("node")) if roots is None else todo.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = written(todo.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks))).applyInPandas(_meet(low, high, similarity), "a bigint, b bigint").distinct(), "candidates")
-        if not found.isEmpty():
-            ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
-            sets = _shingle_sets(docs, marked, ends, shingle)
-            left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
-            both = found.join(left, "a").join(right, "b").select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("common"))
-            links = written(links.union(both.where(F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")), "links")
-            roots = components(links)
-        low, high = high, high * reach
-    first = reps.select("node", "least")
-    if roots is None:
-        each = first.select("node", F.col("least").alias("component_id"))
-    else:
-        named = first.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-        each = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return marked.join(each, "node").select(key_id().alias("doc_id"), "component_id")
-
-
-def _shingle_sets(docs: DataFrame, marked: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
-    """node and hashes, the set of its shingles, of the nodes in ends: one text stands for each."""
+    with released(session(docs)):
+        marked, roots = _groups(docs, shingle, similarity, block, reach)
+        nodes = marked.groupBy("node").agg(F.min(key_id()).alias("least"), F.count("*").alias("__n"))
+        named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        each = written(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "__n", "component_id"), "each")
+        return written(spread_join(marked, each, ["node"], F.col("k")).select(key_id().alias("doc_id"), "component_id"), "similar", outer=True)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for at in range(0, len(pdf), 64):
-                lists = [t.lower().split() for t in pdf["text"].iloc[at : at + 64]]
-                nodes = np.array([_node(w) for w in lists], dtype=np.uint64).view(np.int64)
-                yield pd.DataFrame({"node": nodes, "hashes": [shingle_set(w, shingle) for w in lists]})
 
-    # the smallest key of a node is enough to find one of its texts; other texts of that key drop out by their node
-    wanted = marked.join(ends, "node").groupBy("node").agg(F.min("k").alias("k"))
-    texts = docs.select(id_key().alias("k"), text_bytes().alias("text")).join(wanted.select("k").distinct(), "k", "left_semi")
-    made = texts.mapInPandas(work, "node bigint, hashes array<bigint>").join(ends, "node", "left_semi")
-    return written(made.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+def first_of_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of each group of similar documents (see similar_documents) the row with the smallest doc_id, whole; rows without an id all stay.
+
+    Of rows with one doc_id in one group the one whose text has the smallest hash stays, of equal rows one. All columns
+    of docs are kept; an empty table gives an empty result.
+    """
+    with released(session(docs)):
+        marked, roots = _groups(docs, shingle, similarity, BLOCK, REACH)
+        marked = marked.where(F.col("k") != NULL_ID)
+        nodes = marked.groupBy("node").agg(F.min(F.struct("k", "th")).alias("least"), F.count("*").alias("__n"))
+        named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        each = written(named.join(named.groupBy("root").agg(F.min("least").alias("stays")), "root").select("node", "__n", "stays"), "each")
+        gone = written(spread_join(marked, each, ["node"], F.col("k")).where(F.struct("k", "th") != F.col("stays")).select(F.col("k").alias("__k"), F.col("th").alias("__th")).distinct(), "dropped", outer=True)
+        twice = written(marked.groupBy(F.col("k").alias("__k"), F.col("th").alias("__th")).agg(F.count("*").alias("n")).where("n > 1").drop("n").join(counted(gone), ["__k", "__th"], "left_anti"), "twice", outer=True)
+    rows = docs.withColumns({"__k": id_key(), "__th": F.xxhash64(text_bytes())}).join(counted(gone), ["__k", "__th"], "left_anti")
+    if not twice.isEmpty():
+        rows = rows.join(counted(twice), ["__k", "__th"], "left_anti").unionByName(rows.join(counted(twice), ["__k", "__th"], "left_semi").dropDuplicates(["__k", "__th"]))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
