@@ -2,9 +2,9 @@
 
 The best segmentation maximises the sum of the pieces' scores. Positions arrive one by one; only the last `longest piece`
 of them can still start a piece, so only their scores and backpointers are kept. Whenever the backpointer paths of all of
-them meet in one boundary, every id before it is settled and leaves. The pieces of public vocabularies do not reach over
-the start of a word, so all paths meet at each word's start and at each line end; what lies between two such boundaries is
-encoded once and remembered.
+them meet in one boundary, every id before it is settled and leaves. Every text goes through this decoder. The pieces of
+public vocabularies do not reach over the start of a word, so all paths are sure to meet at each word's start and at each
+line end: the stretch between two such boundaries is streamed when it is first met, and its settled ids are remembered.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ class Vocabulary:
         alone = "".join(c for c in "\n\t\r" if c not in inner)
         # segments between boundaries that no piece crosses: spaces and a word, a control character, or spaces at an end
         self.segment = re.compile(rf" *[^ {alone}]+|[{alone}]| +" if alone else " *[^ ]+| +")
+        self.hole = next(c for c in map(chr, range(0xFFFF, 0, -1)) if c not in self.prefixes and not 0xD800 <= ord(c) < 0xE000)
+        self.unk = model.unk_id()
         self.bytes = [b""] * size
         for i in own:
             self.bytes[i] = self.pieces[i].replace(SPACE, " ").encode()
@@ -54,8 +56,9 @@ class Vocabulary:
             self.bytes[i] = bytes([b])
 
     def fallback(self, char: str) -> list[int]:
-        """The ids of a character without a piece."""
-        return [self.byte_ids[b] for b in char.encode()]
+        """The ids of a character without a piece: of its bytes, or of the unknown piece where the model lacks one of them."""
+        ids = [self.byte_ids.get(b) for b in char.encode()]
+        return [self.unk] if None in ids else ids
 
 
 @lru_cache(maxsize=2)
@@ -64,89 +67,91 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class StreamingViterbi:
-    """Takes characters, gives settled ids. The state is bounded by the longest piece, but where paths run side by side for long."""
+    """Takes characters, gives settled ids. The state is bounded by the longest piece, but where paths run side by side for long.
+
+    Boundaries are extended one after the other, each once the longest piece that could start there is in sight. When no path
+    reaches past the boundary that is next, all go through it, and what lies before is settled; where several boundaries are
+    open for long, their paths are followed back to where they meet.
+    """
 
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
         self.text = ""  # characters since the last settled boundary
         self.best = [0.0]  # score of the best path to each boundary in it
         self.back: list[tuple[int, int]] = [(0, -1)]  # where its last piece starts, and the piece's id (-1: fallback)
+        self.at = self.reach = 0  # the boundary to extend next, and the furthest that a path has reached
 
     def feed(self, text: str) -> list[int]:
-        out: list[int] = []
-        for c in text:
-            self._step(c)
-            if len(self.text) >= 2 * self.v.longest:
-                out += self._settle(self._meeting())
+        longest, out = self.v.longest, []
+        for i in range(0, len(text), 4 * longest):
+            self.text += text[i : i + 4 * longest]
+            if len(self.text) - self.at > longest:
+                out += self._extend(len(self.text) - longest)
         return out
 
-    def _step(self, c: str) -> None:
-        v = self.v
-        self.text += c
-        end = len(self.text)
-        score, start, piece = float("-inf"), end - 1, -1
-        for a in range(max(0, end - v.longest), end):
-            s = self.text[a:end]
-            found = v.ids.get(s.replace(" ", SPACE)) if SPACE not in s else None  # a literal U+2581 is no space
-            if found and self.best[a] + found[1] > score:
-                score, start, piece = self.best[a] + found[1], a, found[0]
-        if (c == SPACE or c.replace(" ", SPACE) not in v.ids) and self.best[end - 1] + v.unknown > score:
-            score, start, piece = self.best[end - 1] + v.unknown, end - 1, -1
-        self.best.append(score)
-        self.back.append((start, piece))
-
-    def _meeting(self) -> int:
-        """The last boundary that the paths to all boundaries that may still start a piece have in common."""
-        end = len(self.text)
-        alive = set(range(max(0, end - self.v.longest + 1), end + 1))
+    def _extend(self, stop: int) -> list[int]:
+        v, out = self.v, []
+        ids, prefixes, longest, unknown = v.ids, v.prefixes, v.longest, v.unknown
+        s = self.text.replace(SPACE, v.hole).replace(" ", SPACE)  # a literal U+2581 is no space
+        n, best, back, a, reach = len(s), self.best, self.back, self.at, self.reach
+        best += [float("-inf")] * (n + 1 - len(best))
+        back += [(0, -1)] * (n + 1 - len(back))
+        settled = 0
+        while a < stop:
+            if a > settled and (a == reach or a - settled >= 2 * longest):
+                to = a if a == reach else self._meeting(a, reach)
+                if to > settled:
+                    out += self._ids(settled, to)
+                    settled = to
+            base = best[a]
+            for e in range(a + 1, min(n, a + longest) + 1):
+                part = s[a:e]
+                if part not in prefixes:
+                    break
+                found = ids.get(part)
+                if found and base + found[1] > best[e]:
+                    best[e], back[e] = base + found[1], (a, found[0])
+                    if e > reach:
+                        reach = e
+            if s[a] not in ids and base + unknown > best[a + 1]:
+                best[a + 1], back[a + 1] = base + unknown, (a, -1)
+                if a + 1 > reach:
+                    reach = a + 1
+            a += 1
+        self.at, self.reach = a - settled, reach - settled
+        if settled:
+            self.text, self.best = self.text[settled:], best[settled:]
+            self.back = [(0, -1), *((x - settled, p) for x, p in back[settled + 1 :])]
+        return out
+
+    def _meeting(self, low: int, high: int) -> int:
+        """The last boundary that the paths to all open boundaries have in common."""
+        alive = {e for e in range(low, high + 1) if self.best[e] > float("-inf")}
         while len(alive) > 1:
             last = max(alive)
             alive.remove(last)
             alive.add(self.back[last][0])
         return alive.pop()
 
-    def _settle(self, to: int) -> list[int]:
-        out: list[list[int]] = []
-        at = to
-        while at:
-            start, piece = self.back[at]
-            out.append([piece] if piece >= 0 else self.v.fallback(self.text[start:at]))
-            at = start
-        if to:
-            base = self.best[to]
-            self.text, self.best = self.text[to:], [b - base for b in self.best[to:]]
-            self.back = [(0, -1), *((s - to, p) for s, p in self.back[to + 1 :])]
-        return [i for ids in reversed(out) for i in ids]
+    def _ids(self, since: int, to: int) -> list[int]:
+        out, back = [], self.back
+        while to > since:
+            start, piece = back[to]
+            out.append([piece] if piece >= 0 else self.v.fallback(self.text[start:to]))
+            to = start
+        return [i for part in reversed(out) for i in part]
 
     def finish(self) -> list[int]:
-        return self._settle(len(self.text))
+        out = self._extend(len(self.text))
+        out += self._ids(0, len(self.text))
+        self.__init__(self.v)
+        return out
 
 
 def encode_segment(vocab: Vocabulary, segment: str) -> list[int]:
-    """The ids of what lies between two boundaries."""
-    if len(segment) > 4 * vocab.longest or SPACE in segment:
-        stream = StreamingViterbi(vocab)
-        return stream.feed(segment) + stream.finish()
-    s, ids, prefixes, n = segment.replace(" ", SPACE), vocab.ids, vocab.prefixes, len(segment)
-    best, back = [float("-inf")] * (n + 1), [(0, -1)] * (n + 1)
-    best[0] = 0.0
-    for a in range(n):  # the same recurrence; a stream so short needs no settling before its end
-        base = best[a]
-        for e in range(a + 1, min(n, a + vocab.longest) + 1):
-            part = s[a:e]
-            if part not in prefixes:
-                break
-            found = ids.get(part)
-            if found and base + found[1] > best[e]:
-                best[e], back[e] = base + found[1], (a, found[0])
-        if s[a] not in ids and base + vocab.unknown > best[a + 1]:
-            best[a + 1], back[a + 1] = base + vocab.unknown, (a, -1)
-    out, at = [], n
-    while at:
-        start, piece = back[at]
-        out.append([piece] if piece >= 0 else vocab.fallback(segment[start:at]))
-        at = start
-    return [i for part in reversed(out) for i in part]
+    """The ids of what lies between two boundaries, by a stream of its own."""
+    stream = StreamingViterbi(vocab)
+    return stream.feed(segment) + stream.finish()
 
 
 class Codec:
@@ -197,8 +202,9 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     """docs: doc_id, text; other columns are ignored. model: the path of a SentencePiece model file on every machine.
 
     Returns doc_id, ids (binary: little-endian unsigned 32-bit integers), n_ids, one row for each row of docs. Null and
-    empty texts have no ids. A character without a piece becomes the ids of its bytes, and so does U+2581, which would
-    otherwise come back as a space: every text survives the round trip.
+    empty texts have no ids; a null doc_id stays null; equal rows give equal rows. A character without a piece becomes the ids of
+    its bytes, and so does U+2581, which would otherwise come back as a space: every text survives the round trip, unless
+    the model has no byte pieces; then such characters become the unknown piece and are lost.
     """
     session(docs)
 
