@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tallyline.llm.common import id_key, key_id, new_path, session, text_bytes
 
 UNIT, RATE = 64, 8000
+#: Level of the zstd compression of the stored columns: samples repeat, but with other bytes between, so a low one is weak.
+LEVEL = 12
 #: WAV format tags; fixed by the file format.
 FORMATS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 #: Step change for each ADPCM code of three bits; fixed values of the codec.
@@ -165,7 +167,8 @@ def store_media(docs: DataFrame, path: str | None = None, codec: str = "mulaw",
     """Writes doc_id, n_bytes, media (WAV) and, with pcm_rate, pcm (16-bit little-endian, resampled) as Parquet; returns the path.
 
     docs: doc_id, text; other columns are ignored. The payload is the text's UTF-8 bytes with zeros up to a positive
-    multiple of 64; null is empty. One row for each row of docs.
+    multiple of 64; null is empty. One row for each row of docs: repeated rows are stored again, a null doc_id stays null, an
+    empty table gives an empty one. The texts of a batch of rows are held by one task, so the longest text bounds its memory.
     """
     spark = session(docs)
     path = path or new_path(spark, "media")
@@ -180,7 +183,7 @@ def store_media(docs: DataFrame, path: str | None = None, codec: str = "mulaw",
             yield out
 
     rows = docs.select(id_key().alias("k"), text_bytes().alias("text")).mapInPandas(work, "k bigint, n_bytes bigint, media binary" + ", pcm binary" * bool(pcm_rate))
-    rows.select(key_id().alias("doc_id"), *names[1:]).write.option("compression", "zstd").parquet(path)
+    rows.select(key_id().alias("doc_id"), *names[1:]).write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": str(LEVEL)}).parquet(path)
     return path
 
 
@@ -188,7 +191,8 @@ def media_features(media: DataFrame, pcm_rate: int = 2 * RATE) -> DataFrame:
     """doc_id, n_bytes, media and, where stored, pcm -> the digest and features of the stored bytes.
 
     The features are loudness figures of the resampled expansion, of the payload read as A-law, and of it read as ADPCM blocks.
-    The first are those of the stored pcm where there is such a column (pcm_rate is not used then).
+    The first are those of the stored pcm where there is such a column (pcm_rate is not used then). Where media is null, so
+    are all of the figures; a null pcm counts as no samples; other columns, of whatever name, are ignored.
     """
     session(media)
     stored = ["pcm"] * ("pcm" in media.columns)
@@ -196,15 +200,25 @@ def media_features(media: DataFrame, pcm_rate: int = 2 * RATE) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            opened = [unwav(m) for m in pdf["media"]]
+            opened = [unwav(m) for m in pdf["media"]]  # no nulls: they went another way
             kept = pdf["pcm"] if stored else [None] * len(pdf)
             for m, pcm, (payload, codec, rate), blocks in zip(pdf["media"], kept, opened, expand_adpcm([padded(p) for p, _, _ in opened]), strict=True):
-                linear = np.frombuffer(pcm, dtype="<i2") if stored else resample(expand(payload, codec), rate, pcm_rate)
+                linear = np.frombuffer(pcm or b"", dtype="<i2") if stored else resample(expand(payload, codec), rate, pcm_rate)
                 feature = "|".join((loudness(linear), loudness(expand(payload, "alaw")), loudness(blocks)))
                 rows.append((len(payload), sha256(payload).hexdigest(), crc32(payload[-UNIT:]), len(m), sha256(m).hexdigest(), feature))
             made = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
             yield pd.concat([pdf[["k", "n_bytes"]].reset_index(drop=True), made], axis=1)
 
-    rows = media.select(id_key().alias("k"), "n_bytes", "media", *stored)
-    out = rows.mapInPandas(work, "k bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    schema = "k bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        for pdf in frames:
+            there = pdf["media"].notna()
+            if there.any():
+                yield from work(iter([pdf[there]]))
+            if not there.all():
+                yield pdf.loc[~there, ["k", "n_bytes"]].assign(**dict.fromkeys(names))
+
+    out = media.select(id_key().alias("k"), "n_bytes", "media", *stored).mapInPandas(each, schema)
     return out.select(key_id().alias("doc_id"), *out.columns[1:])
