@@ -1,8 +1,8 @@
 """Quality classifier by co-training of two views.
 
 The content view sees which words a text holds; the metadata view sees the page's source and language, its length and the
-shape of its text, but no word. Each view is a logistic model. In each round either view labels the documents of an
-unlabelled pool of which it is surest and hands them to the other; at the end both views are calibrated on labelled
+shape of its text, but no word. Each view is a logistic model. In each round either view labels those of all unlabelled
+documents of which it is surest and hands them to the other; at the end both views are calibrated on labelled
 documents that no round has seen, and their calibrated log odds are combined. There is one such pair for low quality and
 one for toxicity; the models are then applied to all documents.
 """
@@ -10,18 +10,19 @@ one for toxicity; the models are then applied to all documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import id_key, key_id, session, text_bytes
+from tallyline.llm.common import NULL_ID, counted, id_key, key_id, session, text_bytes, text_slices, written
 
-#: Labelled documents that the models are fitted on at most, and unlabelled ones in the pool.
-LABELLED, POOL = 16_000, 8_000
-ROUNDS, SURE, SHARE = 2, 0.95, 0.05
+#: Labelled documents that the models are fitted on at most, and pseudo-labels that a view hands on in a round.
+LABELLED, PSEUDO = 16_000, 400
+ROUNDS, SURE = 2, 0.95
 WORDS = 1 << 18
 #: Of numeric metadata, the number of classes each is cut into.
 CUTS = 12
@@ -100,56 +101,55 @@ def calibration(z: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
 class Head:
     """The two views for one label, and their calibration."""
 
-    def __init__(self, words: list[np.ndarray], pages: list[np.ndarray], y: np.ndarray, held: np.ndarray, pool_words: list[np.ndarray], pool_pages: list[np.ndarray], size: int, rounds: int):
-        y = y.astype(np.float64)
-        own = np.flatnonzero(~held)
-        sets = [[[lists[i] for i in own], list(y[own])] for lists in (words, pages)]
-        taken = np.zeros(len(pool_words), dtype=bool)
-        prior = y[own].mean() if len(own) else 0.0
-        for turn in range(rounds + 1):
-            self.views = [Logistic(n).fit(lists, np.array(labels)) for n, (lists, labels) in zip((WORDS, size), sets, strict=True)]
-            if turn == rounds or not len(pool_words):
-                break
-            scores = [m.score(lists) for m, lists in zip(self.views, (pool_words, pool_pages), strict=True)]
-            quota = max(1, int(SHARE * len(pool_words)))
-            for giver, z in enumerate(scores):
-                p = _sigmoid(z)
-                free = np.flatnonzero(~taken)
-                sure = [free[p[free] >= SURE], free[p[free] <= 1 - SURE]]
-                chosen = [(a[np.argsort(-np.abs(z[a]), kind="stable")[:n]], label) for a, n, label in ((sure[0], round(quota * prior), 1.0), (sure[1], round(quota * (1 - prior)), 0.0))]
-                lists, labels = sets[1 - giver]
-                source = (pool_pages, pool_words)[giver]
-                for ids, label in chosen:
-                    lists += [source[i] for i in ids]
-                    labels += [label] * len(ids)
-                    taken[ids] = True
-        seen = np.flatnonzero(held) if held.any() else own
-        z = np.column_stack([m.score([lists[i] for i in seen]) for m, lists in zip(self.views, (words, pages), strict=True)])
-        self.cal = [calibration(z[:, [i]], y[seen]) for i in (0, 1)]
-        self.mixed = calibration(self._calibrated(z), y[seen])
+    def __init__(self, words: list[np.ndarray], pages: list[np.ndarray], y: np.ndarray, held: np.ndarray, size: int):
+        self.words, self.pages, self.y, self.held, self.size = words, pages, y.astype(np.float64), held, size
+        self.own = np.flatnonzero(~held)
+        self.sets = [[[lists[i] for i in self.own], list(self.y[self.own])] for lists in (words, pages)]
+        self.prior = self.y[self.own].mean() if len(self.own) else 0.0
+        self.taken: set[int] = set()
+
+    def fit(self) -> None:
+        self.views = [Logistic(n).fit(lists, np.array(labels)) for n, (lists, labels) in zip((WORDS, self.size), self.sets, strict=True)]
+
+    def quotas(self, pseudo: int) -> tuple[int, int]:
+        """How many documents a view may hand on as negative and as positive."""
+        return round(pseudo * (1 - self.prior)), round(pseudo * self.prior)
+
+    def take(self, giver: int, label: int, words: np.ndarray, page: np.ndarray) -> None:
+        """One view's pseudo-label goes to the other."""
+        lists, labels = self.sets[1 - giver]
+        lists.append((page, words)[giver])
+        labels.append(float(label))
+
+    def calibrate(self) -> None:
+        seen = np.flatnonzero(self.held) if self.held.any() else self.own
+        z = np.column_stack([m.score([lists[i] for i in seen]) for m, lists in zip(self.views, (self.words, self.pages), strict=True)])
+        self.cal = [calibration(z[:, [i]], self.y[seen]) for i in (0, 1)]
+        self.mixed = calibration(self._calibrated(z), self.y[seen])
 
     def _calibrated(self, z: np.ndarray) -> np.ndarray:
         return np.column_stack([z[:, i] * self.cal[i][0] + self.cal[i][1] for i in (0, 1)])
 
-    def probability(self, words: list[np.ndarray], pages: list[np.ndarray]) -> np.ndarray:
+    def odds(self, words: list[np.ndarray], pages: np.ndarray) -> np.ndarray:
+        """Log odds by each view."""
+        return np.column_stack([self.views[0].score(words), self.views[1].w[pages].sum(axis=1) + self.views[1].b])
+
+    def probability(self, words: list[np.ndarray], pages: np.ndarray) -> np.ndarray:
         if not words:
             return np.empty(0)
-        z = np.column_stack([m.score(lists) for m, lists in zip(self.views, (words, pages), strict=True)])
-        return _sigmoid(np.column_stack([self._calibrated(z), np.ones(len(z))]) @ self.mixed)
+        return _sigmoid(np.column_stack([self._calibrated(self.odds(words, pages)), np.ones(len(words))]) @ self.mixed)
 
 
 class CoTrained:
     """Models of low quality and toxicity over shared features."""
 
-    def __init__(self, rows: list[tuple], pool: list[tuple], rounds: int = ROUNDS):
-        """rows: k, words, source, lang, numbers, low, toxic; pool: the same without labels."""
+    def __init__(self, rows: list[tuple]):
+        """rows: k, words, source, lang, numbers, low, toxic."""
         rows = sorted(rows, key=lambda r: r[0])
-        pool = sorted(pool, key=lambda r: r[0])
         numbers = np.array([r[4] for r in rows], dtype=np.float64) if rows else np.empty((0, 0))
         self.cuts = np.quantile(numbers, np.linspace(0, 1, CUTS + 1)[1:-1], axis=0).T if len(rows) else np.empty((0, 0))
         self.size = 1024 + 64 + (CUTS + 1) * max(1, numbers.shape[1])
-        words, pages = [r[1] for r in rows], [self.page(*r[2:5]) for r in rows]
-        pool_words, pool_pages = [r[1] for r in pool], [self.page(*r[2:5]) for r in pool]
+        words, pages = [r[1] for r in rows], list(self.pages([r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows]))
         held = np.array([crc32(str(r[0]).encode()) % 4 == 0 for r in rows], dtype=bool)
         self.heads: list[Head | None] = []
         for i in (5, 6):
@@ -157,26 +157,106 @@ class CoTrained:
             learn = len(y) and 0 < y.sum() < len(y)
             if learn and not (0 < y[held].sum() < held.sum() and 0 < y[~held].sum() < (~held).sum()):
                 held = np.zeros(len(y), dtype=bool)
-            self.heads.append(Head(words, pages, y, held, pool_words, pool_pages, self.size, rounds) if learn else None)
+            self.heads.append(Head(words, pages, y, held, self.size) if learn else None)
+
+    def pages(self, source, lang, numbers) -> np.ndarray:
+        """The metadata features of some pages: a row of feature numbers for each."""
+        first = np.column_stack([np.asarray(source, dtype=np.int64), 1024 + np.asarray(lang, dtype=np.int64)])
+        if not len(first) or not len(self.cuts):
+            return first
+        x = np.array([list(n) for n in numbers], dtype=np.float64)
+        classes = [1088 + i * (CUTS + 1) + np.searchsorted(cuts, x[:, i]) for i, cuts in enumerate(self.cuts)]
+        return np.column_stack([first, *classes])
+
+    def bare(self) -> CoTrained:
+        """The model without what it learns from."""
+        out = copy(self)
+        out.heads = [h and copy(h) for h in self.heads]
+        for h in filter(None, out.heads):
+            for name in ("words", "pages", "y", "held", "own", "sets", "taken"):
+                h.__dict__.pop(name, None)
+        return out
+
+    def scores(self, words: list[np.ndarray], pages: np.ndarray) -> list[np.ndarray]:
+        return [h.probability(words, pages) if h else np.zeros(len(words)) for h in self.heads]
 
-    def page(self, source: int, lang: int, numbers) -> np.ndarray:
-        classes = [1088 + i * (CUTS + 1) + int(np.searchsorted(self.cuts[i], x)) for i, x in enumerate(numbers)] if len(self.cuts) else []
-        return np.array([source, 1024 + lang, *classes], dtype=np.int32)
 
-    def scores(self, words: list[np.ndarray], pages: list[np.ndarray]) -> list[np.ndarray]:
-        return [h.probability(words, pages) if h else np.zeros(len(words)) for h in self.heads]
+def _opened(pdf: pd.DataFrame, model: CoTrained) -> tuple[list[np.ndarray], np.ndarray]:
+    return [np.frombuffer(w, np.int32) for w in pdf["words"]], model.pages(pdf["source"], pdf["lang"], pdf["numbers"])
 
 
-FEATURES = "k bigint, words binary, source int, lang int, numbers array<double>, low int, toxic int"
+def _surest(features: DataFrame, model: CoTrained, pseudo: int) -> list[tuple[int, int, int, int]]:
+    """(head, giver, label, k) of the documents of which each view is surest, surest first: a top-k over all of them.
 
+    Every task keeps its own surest ones, so that few rows meet. Lists are longer than asked by what was taken before.
+    """
+    shared = features.sparkSession.sparkContext.broadcast(model.bare())  # of fixed size
+    most = {(i, g, label): h.quotas(pseudo)[label] + len(h.taken) + pseudo for i, h in enumerate(model.heads) if h for g in (0, 1) for label in (0, 1)}
+    edge = float(np.log(SURE / (1 - SURE)))
 
-def _features(rows: DataFrame) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, best = shared.value, {c: (np.empty(0), np.empty(0, dtype=np.int64)) for c in most}
         for pdf in frames:
-            pages = [metadata(*x) for x in zip(pdf["text"], pdf["source"], pdf["lang"], strict=True)]
-            yield pd.DataFrame({"k": pdf["k"], "words": [content(t).tobytes() for t in pdf["text"]], "source": [p[0] for p in pages], "lang": [p[1] for p in pages], "numbers": [p[2] for p in pages], "low": pdf["low"], "toxic": pdf["toxic"]})
+            words, pages = _opened(pdf, m)
+            k = pdf["k"].to_numpy(dtype=np.int64)
+            for i, h in enumerate(m.heads):
+                z = h.odds(words, pages) if h else None
+                for g in (0, 1) if h else ():
+                    for label in (0, 1):
+                        size = z[:, g] if label else -z[:, g]
+                        sure = size >= edge
+                        size, own = np.append(best[i, g, label][0], size[sure]), np.append(best[i, g, label][1], k[sure])
+                        order = np.lexsort((own, -size))[: most[i, g, label]]
+                        best[i, g, label] = size[order], own[order]
+        for (i, g, label), (size, own) in best.items():
+            if len(own):
+                yield pd.DataFrame({"list": i * 4 + g * 2 + label, "most": most[i, g, label], "size": size, "k": own})
+
+    rows = features.mapInPandas(work, "list int, most int, size double, k bigint")
+    rank = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("size"), "k"))
+    top = rows.withColumn("rank", rank).where(F.col("rank") <= max(most.values())).where("rank <= most")
+    return [(r["list"] >> 2, r["list"] >> 1 & 1, r["list"] & 1, r.k) for r in sorted(top.collect(), key=lambda r: (r["list"], r["rank"]))]
+
+
+def _exchange_labels(features: DataFrame, model: CoTrained, pseudo: int) -> None:
+    """One round: each view hands on the documents of which it is surest; none is taken twice for one label."""
+    chosen: list[tuple[int, int, int, int]] = []
+    counts: dict[tuple[int, int, int], int] = {}
+    for i, giver, label, k in _surest(features, model, pseudo):
+        head = model.heads[i]
+        if k not in head.taken and counts.get((i, giver, label), 0) < head.quotas(pseudo)[label]:
+            head.taken.add(k)
+            counts[i, giver, label] = counts.get((i, giver, label), 0) + 1
+            chosen.append((i, giver, label, k))
+    rows = {r[0]: r for r in _rows(features, sorted({c[3] for c in chosen}))}
+    for i, giver, label, k in chosen:
+        r = rows[k]
+        model.heads[i].take(giver, label, r[1], model.pages([r[2]], [r[3]], [r[4]])[0])
+
+
+def _rows(features: DataFrame, ids: list[int]) -> list[tuple]:
+    """The features of some documents, bounded by the caller; one row for each id, of repeated ids the least."""
+    if not ids:
+        return []
+    some = features.sparkSession.createDataFrame([(i,) for i in ids], "k bigint")
+    least = features.join(F.broadcast(some), "k").groupBy("k").agg(F.min(F.struct("words", "source", "lang", "numbers")).alias("x"))
+    return [(r.k, np.frombuffer(r.words, np.int32), r.source, r.lang, r.numbers) for r in least.select("k", "x.*").toLocalIterator()]
+
+
+FEATURES = "k bigint, words binary, source int, lang int, numbers array<double>"
+
+
+def features_of(docs: DataFrame) -> DataFrame:
+    """k and the features of both views of each document, computed once and stored for all rounds and the final scores."""
+    session(docs)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for part in text_slices(pdf):
+                pages = [metadata(*x) for x in zip(part["text"], part["source"], part["lang"], strict=True)]
+                yield pd.DataFrame({"k": part["k"], "words": [content(t).tobytes() for t in part["text"]], "source": [p[0] for p in pages], "lang": [p[1] for p in pages], "numbers": [p[2] for p in pages]})
 
-    return rows.mapInPandas(work, FEATURES)
+    return written(_columns(docs).mapInPandas(work, FEATURES), "features")
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -185,44 +265,46 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(id_key().alias("k"), text_bytes().alias("text"), other("source"), other("lang"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained:
-    """Fits the models on at most `labelled` labelled documents and a pool of at most `pool` others, both chosen by a hash of the id."""
-    session(docs)
-    own = _columns(docs)
+def fit(features: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS) -> CoTrained:
+    """Fits the models on at most `labelled` labelled documents, chosen by a hash of the id, and on pseudo-labels: in each round
+    either view hands on at most `pseudo` for each label, the surest of all unlabelled documents with an id."""
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("k")).agg((1 - F.min("quality")).cast("int").alias("low"), F.max("toxic").cast("int").alias("toxic"))
-    known = known.where("low is not null and toxic is not null")
-    ids = docs.select(id_key().alias("k")).distinct()
-    chosen = known.join(ids, "k", "left_semi").orderBy(F.xxhash64("k"), "k").limit(labelled)
-    others = ids.join(known, "k", "left_anti").orderBy(F.xxhash64("k"), "k").limit(pool).select("k", F.lit(0).alias("low"), F.lit(0).alias("toxic"))
-    got = []
-    for some in (chosen, others):  # bounded tables, so broadcast
-        rows = _features(own.join(F.broadcast(some), "k"))
-        got.append([(r.k, np.frombuffer(r.words, np.int32), r.source, r.lang, r.numbers, r.low, r.toxic) for r in rows.toLocalIterator()])
-    return CoTrained(*got, rounds=rounds)
-
-
-def score(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """doc_id, p_low_quality, p_toxic and keep (both under one half), one row for each row of docs."""
-    shared = session(docs).sparkContext.broadcast(model)  # of fixed size: two weights for each hashed feature and label
+    known = written(known.where("low is not null and toxic is not null"), "known")
+    ids = features.select("k").distinct()
+    chosen = {r.k: (r.low, r.toxic) for r in known.join(ids, "k", "left_semi").orderBy(F.xxhash64("k"), "k").limit(labelled).collect()}
+    model = CoTrained([(*r, *chosen[r[0]]) for r in _rows(features, list(chosen))])
+    others = features.where(F.col("k") != NULL_ID).join(counted(known.select("k")), "k", "left_anti")
+    for turn in range(rounds + 1):
+        for head in filter(None, model.heads):
+            head.fit()
+        if turn < rounds and any(model.heads):
+            _exchange_labels(others, model, pseudo)
+    for head in filter(None, model.heads):
+        head.calibrate()
+    return model
+
+
+def score(features: DataFrame, model: CoTrained) -> DataFrame:
+    """doc_id, p_low_quality, p_toxic and keep (both under one half), one row for each row of features."""
+    shared = session(features).sparkContext.broadcast(model.bare())  # of fixed size: two weights for each hashed feature and label
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
         for pdf in frames:
-            words = [content(t) for t in pdf["text"]]
-            pages = [m.page(*metadata(*x)) for x in zip(pdf["text"], pdf["source"], pdf["lang"], strict=True)]
-            low, toxic = m.scores(words, pages)
+            low, toxic = shared.value.scores(*_opened(pdf, shared.value))
             yield pd.DataFrame({"k": pdf["k"], "p_low_quality": low.round(6), "p_toxic": toxic.round(6)})
 
-    out = _columns(docs).mapInPandas(work, "k bigint, p_low_quality double, p_toxic double")
+    out = features.mapInPandas(work, "k bigint, p_low_quality double, p_toxic double")
     return out.select(key_id().alias("doc_id"), "p_low_quality", "p_toxic", ((F.col("p_low_quality") < 0.5) & (F.col("p_toxic") < 0.5)).alias("keep"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS) -> DataFrame:
     """Fits on labelled documents and scores all.
 
     docs: doc_id, text and, where present, source and lang; labels: doc_id, quality (1 good), toxic (1 toxic); other
     columns are ignored. Returns doc_id, p_low_quality, p_toxic, keep for each row of docs. Several labels of one document
-    count as its worst; rows without a label or id are left out of the fit. Null texts, sources and languages are empty. A
-    label with one class only, or no label at all, gives the probability 0.
+    count as its worst, several rows of one labelled doc_id as the one with the least features; rows without a label or id
+    are left out of the fit. Null texts, sources and languages are empty. A label with one class only, or no label at all,
+    gives the probability 0. An empty table gives an empty result.
     """
-    return score(docs, fit(docs, labels, labelled, pool, rounds))
+    features = features_of(docs)
+    return score(features, fit(features, labels, labelled, pseudo, rounds))
