@@ -16,13 +16,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import id_key, key_id, mix, pair, size_of, word_table
-from tallyline.llm.exchange import exchange
+from tallyline.llm.common import id_key, key_id, mix, pair, session, size_of, text_bytes, text_slices, word_table, written
+from tallyline.llm.exchange import FAN, exchange
 
 #: Smoothing: added to each word's count, and the weight of the word model in the bigram model.
 ADD, PRIOR = 0.5, 4.0
 #: Bytes of n-grams that one bucket takes; a text's n-grams take about as many bytes as itself.
 BUCKET_BYTES = 16 << 20
+#: Bytes of text whose distinct words one task joins.
+VOCABULARY_BYTES = 128 << 20
 _START = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -86,24 +88,62 @@ class Grams:
                 yield b, int(a), int(z)
 
 
-def score_documents(docs: DataFrame, target: DataFrame, add: float = ADD, prior: float = PRIOR, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _lengths_and_vocabulary(docs: DataFrame, slices: int) -> tuple[DataFrame, int]:
+    """k and n, the number of words, of each document; and how many words the corpus has, one more for those it has not.
+
+    A task sends its distinct word hashes in slices by their range; a slice's hashes are made one set as they stream by.
+    """
+    session(docs)
+    edges = (np.arange(slices, dtype=np.float64) / slices * 2.0**64).astype(np.uint64)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, new, held = np.empty(0, dtype=np.uint64), [], 0
+        for pdf in frames:
+            for part in text_slices(pdf):
+                lists = [t.lower().split() for t in part["text"]]
+                new.append(np.unique(word_table(b"".join(b" ".join(x) + b" " for x in lists if x))[2]))
+                held += len(new[-1])
+                if held > 1 << 20:
+                    seen, new, held = np.unique(np.concatenate([seen, *new])), [], 0
+                yield pd.DataFrame({"k": part["k"], "n": [len(x) for x in lists], "slice": -1, "body": None})
+        seen = np.unique(np.concatenate([seen, *new]))
+        cuts = np.append(np.searchsorted(seen, edges), len(seen)).tolist()
+        for i, (a, z) in enumerate(zip(cuts, cuts[1:])):
+            if a < z:
+                yield pd.DataFrame({"k": [0], "n": [0], "slice": [i], "body": [_z(planes(np.diff(seen[a:z], prepend=np.uint64(0)).astype("<u8")))]})
+
+    def sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, seen = None, np.empty(0, dtype=np.uint64)
+        for pdf in frames:
+            for i, body in zip(pdf["slice"].tolist(), pdf["body"], strict=True):
+                if i != now:
+                    if now is not None:
+                        yield pd.DataFrame({"n": [len(seen)]})
+                    now, seen = i, np.empty(0, dtype=np.uint64)
+                seen = np.union1d(seen, np.cumsum(unplanes(_u(body), "<u8"), dtype=np.uint64))
+        if now is not None:
+            yield pd.DataFrame({"n": [len(seen)]})
+
+    found = written(docs.select(id_key().alias("k"), text_bytes().alias("text")).mapInPandas(work, "k bigint, n bigint, slice int, body binary"), "words")
+    words = found.where("slice >= 0").select("slice", "body").repartition("slice").sortWithinPartitions("slice").mapInPandas(sizes, "n bigint")
+    return found.where("slice < 0").select("k", "n"), 1 + (words.agg(F.sum("n")).first()[0] or 0)
+
+
+def score_documents(docs: DataFrame, target: DataFrame, add: float = ADD, prior: float = PRIOR, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) -> DataFrame:
     """Scores documents by how much better a target model predicts them than a background model.
 
     docs: doc_id, text; target: doc_id of the documents that train the target model; all others train the background
     model; other columns are ignored. Words are runs of bytes other than ASCII white space, A-Z lower-cased. Returns doc_id,
     n_tokens, loss_target, loss_background (nats a token) and difference (the first less the second: the lower, the more
     like the target), one row for each row of docs. Null and empty texts have no tokens and losses of 0. A null doc_id is in
-    the background. Corpus counts are exact; the size of the vocabulary, of which the smoothing takes the logarithm's
-    argument, is a HyperLogLog estimate over all documents.
+    the background. Corpus counts and the size of the one vocabulary, which both models share, are exact.
     """
     chosen = target.select(F.col("doc_id").cast("bigint").alias("k")).where("k is not null").distinct()
-    parts = F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+")
-    outer = F.when(F.element_at("p", 1) == "", 1).otherwise(0) + F.when((F.size("p") > 1) & (F.element_at("p", -1) == ""), 1).otherwise(0)
-    sizes = docs.select(id_key().alias("k"), parts.alias("p")).select("k", (F.size("p") - outer).alias("n"))
-    s = sizes.join(chosen.withColumn("t", F.lit(1)), "k", "left").agg(*[F.coalesce(F.sum(F.when(F.col("t").isNotNull() if x else F.col("t").isNull(), v)), F.lit(0)) for v in (F.col("n").cast("bigint"), F.lit(1)) for x in (True, False)]).first()
+    size = size_of(docs)
+    lengths, vocabulary = _lengths_and_vocabulary(docs, max(1, -(-size // VOCABULARY_BYTES)))
+    s = lengths.join(chosen.withColumn("t", F.lit(1)), "k", "left").agg(*[F.coalesce(F.sum(F.when(F.col("t").isNotNull() if x else F.col("t").isNull(), v)), F.lit(0)) for v in (F.col("n").cast("bigint"), F.lit(1)) for x in (True, False)]).first()
     totals, texts = np.array(s[:2], dtype=np.float64), np.array(s[2:], dtype=np.float64)
-    vocabulary = 1 + docs.select(F.explode(parts).alias("w")).where("w <> ''").agg(F.approx_count_distinct(F.lower("w"), 0.02)).first()[0]
-    buckets = max(1, -(-size_of(docs) // bucket_bytes))
+    buckets = max(1, -(-size // bucket_bytes))
 
     def scatter(pdf):
         g = Grams(pdf)
@@ -148,5 +188,5 @@ def score_documents(docs: DataFrame, target: DataFrame, add: float = ADD, prior:
         diff = np.bincount(g.doc, weights=losses[0] - losses[1], minlength=len(g.n)) / np.maximum(g.n, 1)
         return pd.DataFrame({"k": pdf["k"], "n_tokens": g.n, "loss_target": per[0].round(9), "loss_background": per[1].round(9), "difference": diff.round(9)})
 
-    out = exchange(docs, scatter, gather, finish, "k bigint, n_tokens bigint, loss_target double, loss_background double, difference double", marks=chosen)
+    out = exchange(docs, buckets, scatter, gather, finish, "k bigint, n_tokens bigint, loss_target double, loss_background double, difference double", marks=chosen, size=size, fan=fan)
     return out.select(key_id().alias("doc_id"), "n_tokens", "loss_target", "loss_background", "difference")

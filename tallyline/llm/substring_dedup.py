@@ -5,23 +5,31 @@ same minimiser travel as one packed string, a super-k-mer, to the bucket of that
 than three times instead of k times and all copies of a window meet in one bucket. There the windows are sorted by a
 64-bit hash, equal neighbours are compared word for word, and each distinct window gets its smallest document. Only
 windows with a smaller document elsewhere are answered.
+
+Very frequent word pairs, found by counting all pairs in classes of their hashes, come last in the order of hashes, so that
+no bucket takes a large share of the windows because of one pair; a window of such pairs only goes by its own hash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
-from tallyline.llm.common import key_id, mix, pair, size_of, word_table
-from tallyline.llm.exchange import exchange
+from tallyline.llm.common import count_slices, key_id, mix, pair, session, size_of, sum_slices, text_bytes, text_slices, word_table
+from tallyline.llm.exchange import FAN, exchange
 
 WINDOW = 13
 #: Bytes of packed strings that one bucket takes on average.
 BUCKET_BYTES = 12 << 20
 #: Packed strings hold so many times the bytes of the texts, about.
 EXPANSION = 3
+#: Word pairs are counted by so many leading bits of their hashes; a class with over one in COMMON of all pairs is frequent.
+PAIR_BITS, COMMON, COMMON_LEAST = 20, 4096, 10_000
+_TOP = np.uint64(1 << 63)
 
 
 def window_values(h: np.ndarray, k: int) -> np.ndarray:
@@ -59,10 +67,30 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
 
 
+def frequent_pairs(docs: DataFrame, least: int = COMMON_LEAST) -> np.ndarray:
+    """Which classes of word pairs are frequent in all documents: a table of fixed size."""
+    session(docs)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(1 << PAIR_BITS, dtype=np.int64)
+        for pdf in frames:
+            for part in text_slices(pdf):
+                lists = [t.split() for t in part["text"]]
+                _, _, h = word_table(b"".join(b" ".join(x) + b" " for x in lists if x))
+                doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                pairs = pair(h[:-1], h[1:])[doc[:-1] == doc[1:]]
+                counts += np.bincount((pairs >> np.uint64(64 - PAIR_BITS)).astype(np.int64), minlength=len(counts))
+        for i, body in count_slices(counts):
+            yield pd.DataFrame({"slice": [i], "body": [body]})
+
+    counts = sum_slices(docs.select(text_bytes().alias("text")).mapInPandas(work, "slice int, body binary"), PAIR_BITS).astype(np.int64)
+    return counts > max(least, int(counts.sum()) // COMMON)
+
+
 class Cut:
     """The super-k-mers of one batch; distinct ones in the order in which they are sent."""
 
-    def __init__(self, pdf: pd.DataFrame, k: int, buckets: int):
+    def __init__(self, pdf: pd.DataFrame, k: int, buckets: int, frequent: np.ndarray):
         lists = [t.split() for t in pdf["text"]]
         self.norms = [b" ".join(x) for x in lists]
         self.n_words = np.array([len(x) for x in lists], dtype=np.int64)
@@ -81,8 +109,15 @@ class Cut:
         valid = np.flatnonzero(self.doc[:n] == self.doc[k - 1 :])
         if not len(valid):
             return
-        least = sliding_min(pair(h[:-1], h[1:]), k - 1) if k > 1 else h
-        low = least[valid]
+        if k > 1:
+            pairs = pair(h[:-1], h[1:])
+            last = frequent[(pairs >> np.uint64(64 - PAIR_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
+            low = sliding_min((pairs >> np.uint64(1)) | last, k - 1)[valid]
+            alone = np.flatnonzero(low >= _TOP)
+            if len(alone):
+                low[alone] = window_values(h, k)[valid[alone]]
+        else:
+            low = h[valid]
         new = np.ones(len(valid), dtype=bool)
         new[1:] = (np.diff(valid) != 1) | (low[1:] != low[:-1])
         head = np.flatnonzero(new)
@@ -192,7 +227,7 @@ def repeated_words(cut: Cut, replies: dict[int, bytes], k: int) -> np.ndarray:
     return np.cumsum(steps)[:-1] > 0
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, common_least: int = COMMON_LEAST, fan: int = FAN) -> DataFrame:
     """Removes each word covered by a window of words that also starts in a document with a smaller doc_id.
 
     docs: doc_id, text; other columns are ignored. Returns doc_id, n_words, n_removed, text (kept words joined by one
@@ -200,10 +235,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, bucket_bytes: int =
     no words. A null doc_id counts as smaller than all others. Rows with the same doc_id count as one document and do not
     remove each other's words. An empty table gives an empty result.
     """
-    buckets = max(1, -(-size_of(docs) * EXPANSION // bucket_bytes))
+    size = size_of(docs)
+    buckets = max(1, -(-size * EXPANSION // bucket_bytes))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_pairs(docs, common_least))  # of fixed size: a byte for each class
 
     def scatter(pdf):
-        cut = Cut(pdf, window, buckets)
+        cut = Cut(pdf, window, buckets, frequent.value)
         for bucket, a, b in cut.bounds():
             yield bucket, pack(cut.low[a:b].astype("<i8").tobytes(), b"".join(x + b"\n" for x in cut.entries[a:b]))
 
@@ -211,7 +248,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, bucket_bytes: int =
         return smallest_documents(bodies, window)
 
     def finish(pdf, replies):
-        cut = Cut(pdf, window, buckets)
+        cut = Cut(pdf, window, buckets, frequent.value)
         gone = repeated_words(cut, replies, window)
         removed = np.bincount(cut.doc, weights=gone, minlength=len(cut.norms)).astype(np.int64)
         ends = np.cumsum(cut.n_words)
@@ -223,5 +260,5 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, bucket_bytes: int =
             texts.append(norm.decode("utf-8", "replace"))
         return pd.DataFrame({"k": cut.keys, "n_words": cut.n_words, "n_removed": removed, "text": texts})
 
-    out = exchange(docs, scatter, gather, finish, "k bigint, n_words bigint, n_removed bigint, text string")
+    out = exchange(docs, buckets, scatter, gather, finish, "k bigint, n_words bigint, n_removed bigint, text string", size=size, fan=fan)
     return out.select(key_id().alias("doc_id"), "n_words", "n_removed", "text")
