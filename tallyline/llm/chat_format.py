@@ -24,7 +24,7 @@ END_TURN = "<|end|>\n"
 #: after a line end, where the tokenizer always starts anew, so the ids are those of the whole.
 ROW_CHARS = 1 << 20
 
-ROWS = "k bigint, part bigint, n_turns bigint, formatted string, spans array<struct<start:bigint,stop:bigint>>, ids array<int>, mask array<boolean>"
+ROWS = "k bigint, part bigint, n_turns bigint, formatted string, spans array<struct<start:bigint,stop:bigint>>, ids array<int>, starts array<int>, stops array<int>, mask array<boolean>"
 
 
 def escaped(text: str) -> str:
@@ -70,8 +70,8 @@ def format_conversations(conversations: DataFrame, tokenizer: str, answers: tupl
     """Renders, encodes and masks conversations.
 
     conversations: conv_id, turn, role, text; other columns are ignored. Returns conv_id, part (0, and more for very long
-    conversations), n_turns, formatted, spans (of answers, in characters, empty ones too), ids, mask (of ids: shares a
-    character with an answer). Turns go by turn (null first), then role, then text; null roles and texts are empty; rows
+    conversations), n_turns, formatted, spans (of answers, in characters, empty ones too), ids, starts and stops (the
+    characters of each id), mask (of ids: shares a character with an answer). Turns go by turn (null first), then role, then text; null roles and texts are empty; rows
     with a null conv_id are one conversation. A conversation streams through its task and is never held whole.
     """
     session(conversations)
@@ -84,8 +84,9 @@ def format_conversations(conversations: DataFrame, tokenizer: str, answers: tupl
         def row() -> tuple:
             text = "".join(pieces)
             e = _tokenizer(tokenizer).encode(text, add_special_tokens=False)
-            mask = token_mask(np.array(e.offsets, dtype=np.int64).reshape(-1, 2), np.array([s for s in spans if s[0] < s[1]], dtype=np.int64).reshape(-1, 2))
-            return key, part, turns, text, [{"start": a, "stop": b} for a, b in spans], e.ids, mask.tolist()
+            offsets = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
+            mask = token_mask(offsets, np.array([s for s in spans if s[0] < s[1]], dtype=np.int64).reshape(-1, 2))
+            return key, part, turns, text, [{"start": a, "stop": b} for a, b in spans], e.ids, offsets[:, 0].tolist(), offsets[:, 1].tolist(), mask.tolist()
 
         for pdf in frames:
             done = []
@@ -105,21 +106,34 @@ def format_conversations(conversations: DataFrame, tokenizer: str, answers: tupl
         if turns:
             yield _frame([row()])
 
-    return rows.mapInPandas(work, ROWS).select(key_id().alias("conv_id"), "part", "n_turns", "formatted", "spans", "ids", "mask")
+    return rows.mapInPandas(work, ROWS).select(key_id().alias("conv_id"), "part", "n_turns", "formatted", "spans", "ids", "starts", "stops", "mask")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["k", "part", "n_turns", "formatted", "spans", "ids", "mask"])
+    return pd.DataFrame(rows, columns=["k", "part", "n_turns", "formatted", "spans", "ids", "starts", "stops", "mask"])
+
+
+def masked_text(text: str, spans: list[tuple[int, int]], starts: np.ndarray, stops: np.ndarray) -> list[str]:
+    """What the tokens under the mask (their first and last characters) hold of each span. A token may reach over a span's end
+    into the template; that part is no answer."""
+    steps = np.zeros(len(text) + 1, dtype=np.int32)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, stops, -1)
+    under = np.cumsum(steps)[:-1] > 0
+    return [text[a:b] if under[a:b].all() else "".join(text[i] for i in np.flatnonzero(under[a:b]) + a) for a, b in spans]
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """formatted: rows of format_conversations, stored. Returns for each conversation what its output says.
 
     conv_id, n_turns, turns_sha256 (role, line end, text, line end of each turn), loss_chars and loss_sha256 (the
-    unescaped text in the spans), formatted_chars, n_ids, n_loss_ids.
+    unescaped answers, as far as the characters of tokens under the mask hold them), formatted_chars, n_ids, n_loss_ids. A
+    null conv_id stays null; an empty table gives an empty result.
     """
     session(formatted)
-    rows = formatted.select(id_key("conv_id").alias("k"), "part", "formatted", "spans", F.size("ids").cast("bigint").alias("n"), F.size(F.filter("mask", lambda x: x)).cast("bigint").alias("m"))
+    under = F.filter(F.arrays_zip(F.col("mask").alias("m"), F.col("starts").alias("a"), F.col("stops").alias("b")), lambda x: x["m"])
+    rows = formatted.select(id_key("conv_id").alias("k"), "part", "formatted", "spans", F.size("ids").cast("bigint").alias("n"), under.alias("u"))
+    rows = rows.select("k", "part", "formatted", "spans", "n", F.size("u").cast("bigint").alias("m"), F.col("u.a").alias("starts"), F.col("u.b").alias("stops"))
     rows = rows.repartition("k").sortWithinPartitions("k", "part")
     names = ["k", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_ids", "n_loss_ids"]
 
@@ -127,7 +141,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         key, turns, loss, counts = None, None, None, None
         for pdf in frames:
             done = []
-            for k, text, spans, n, m in zip(pdf["k"].tolist(), pdf["formatted"], pdf["spans"], pdf["n"].tolist(), pdf["m"].tolist(), strict=True):
+            for k, text, spans, n, m, starts, stops in zip(pdf["k"].tolist(), pdf["formatted"], pdf["spans"], pdf["n"].tolist(), pdf["m"].tolist(), pdf["starts"], pdf["stops"], strict=True):
                 if k != key:
                     if counts:
                         done.append((key, counts[0], turns.hexdigest(), counts[1], loss.hexdigest(), *counts[2:]))
@@ -135,8 +149,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 for role, body, _, _ in parse(text):
                     turns.update(f"{role}\n{body}\n".encode())
                     counts[0] += 1
-                for s in spans:
-                    answer = unescaped(text[s["start"] : s["stop"]])
+                for piece in masked_text(text, [(s["start"], s["stop"]) for s in spans], np.asarray(starts, dtype=np.int64), np.asarray(stops, dtype=np.int64)):
+                    answer = unescaped(piece)
                     loss.update(answer.encode())
                     counts[1] += len(answer)
                 counts[2], counts[3], counts[4] = counts[2] + len(text), counts[3] + n, counts[4] + m
