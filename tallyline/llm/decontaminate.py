@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm.common import id_key, key_id, session, text_bytes, written
@@ -235,7 +235,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. A window is `window` consecutive words of an
     item, or all words of a shorter item. Returns for each row of docs: doc_id, n_words, n_hit (words in any occurrence),
-    spans (array of start, stop in words; merged where one block suffices, else word by word), items (the item_ids found, as strings, sorted). With slop, a match is a
+    spans (array of start, stop in words; merged), items (the item_ids found, as strings, sorted). With slop, a match is a
     place such that every term stands within `slop` words of its own place in one document, and the span reaches as far.
     Null and empty texts have no words; an item without words has no window. Items with a null item_id mark words but are
     not named; items that share an item_id count as one. Duplicate rows of docs each get a row. An empty benchmark gives
@@ -251,8 +251,11 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         every = found[0]
         for f in found[1:]:
             every = every.unionByName(f)
-        words = every.select(*row, F.explode("spans").alias("s")).select(*row, F.explode(F.sequence(F.col("s.start"), F.col("s.stop") - 1)).alias("w")).distinct()
-        hits = words.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct(F.col("w").alias("start"), (F.col("w") + 1).alias("stop")))).alias("spans"))
+        parts = every.select(*row, F.explode("spans").alias("s")).select(*row, "s.start", "s.stop")
+        w = Window.partitionBy(*row).orderBy("start", "stop")
+        apart = F.col("start") > F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        merged = parts.withColumn("__new", F.when(apart, 1).otherwise(0)).withColumn("__g", F.sum("__new").over(w)).groupBy(*row, "__g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+        hits = merged.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
         items = every.select(*row, F.explode("items").alias("i")).groupBy(*row).agg(F.array_sort(F.collect_set("i")).alias("items"))
         out = found[0].select(*row).join(hits, row, "left").join(items, row, "left")
         out = out.select("k", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
