@@ -132,7 +132,7 @@ def counted(df: DataFrame) -> DataFrame:
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of docs but those whose doc_id is in gone (doc_id; a null means the null ids). Written first and counted, so
     that a short list is broadcast and no text is shuffled."""
-    gone = written(gone.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    gone = written(gone.select(F.col("doc_id").alias("__gone")).distinct(), "gone", outer=True)
     return docs.join(counted(gone), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
 
 
@@ -163,6 +163,40 @@ def text_slices(pdf, most: int = 4 << 20, name: str = "text") -> Iterator:
         at = to
 
 
+# ---- counts by classes of hashes: tables of fixed size ----
+
+SLICE_BITS = 14
+
+
+def count_slices(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A task's counts of all classes, in slices."""
+    for i, own in enumerate(np.split(counts, len(counts) >> SLICE_BITS)):
+        if own.any():
+            yield i, own.astype("<i8").tobytes()
+
+
+def sum_slices(rows: DataFrame, bits: int) -> np.ndarray:
+    """rows: slice, body. The counts of 2 ** bits classes over all tasks; a slice's rows are added as they stream through a task."""
+
+    def work(frames):
+        now, total = None, None
+        for pdf in frames:
+            for i, body in zip(pdf["slice"].tolist(), pdf["body"], strict=True):
+                if i != now:
+                    if total is not None:
+                        yield type(pdf)({"slice": [now], "body": [total.tobytes()]})
+                    now, total = i, np.zeros(1 << SLICE_BITS, dtype=np.int64)
+                total += np.frombuffer(body, "<i8")
+        if total is not None:
+            yield type(pdf)({"slice": [now], "body": [total.tobytes()]})
+
+    out = np.zeros(1 << bits, dtype=np.uint32)
+    summed = rows.select("slice", "body").repartition("slice").sortWithinPartitions("slice").mapInPandas(work, "slice int, body binary")
+    for r in summed.toLocalIterator():
+        out[r.slice << SLICE_BITS : (r.slice + 1) << SLICE_BITS] = np.minimum(np.frombuffer(r.body, "<i8"), 2**32 - 1)
+    return out
+
+
 # ---- vectorised hashes of words ----
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tallyline.llm import chat_format, cotraining, decontaminate, line_dedup, lm_scoring, sentencepiece_stream, simhash, substring_dedup, telephony, token_orc
 from tallyline.llm.common import new_path, written
 
-TOKENIZERS = "/opt/tokenizers"
-
 
 def _path(name: str) -> str:
     """A vocabulary file of the public tokenizers; the folder is a parameter of the box, not of this repository."""

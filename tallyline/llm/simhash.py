@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import NULL_ID, counted, id_key, key_id, mix, pair, released, session, spread_join, text_bytes, text_slices, word_table, written
+from tallyline.llm.common import NULL_ID, count_slices, counted, id_key, key_id, mix, pair, released, session, spread_join, sum_slices, text_bytes, text_slices, word_table, written
 from tallyline.llm.components import components
 
 SHINGLE, RADIUS = 4, 4
@@ -200,8 +200,8 @@ BLOCK = 2048
 TASK_MEMBERS = 100_000
 #: Every round reaches so many times further among a list's neighbours.
 REACH = 32
-#: Shingles are counted by so many leading bits of their hashes: a table of fixed size, in slices.
-COUNT_BITS, SLICE_BITS = 21, 14
+#: Shingles are counted by so many leading bits of their hashes: a table of fixed size.
+COUNT_BITS = 21
 _SALTS = mix(np.arange(1, 4097, dtype=np.uint64))
 
 
@@ -253,36 +253,13 @@ def _described(docs: DataFrame, shingle: int) -> DataFrame:
                 nodes = np.array([_node(w) for w in lists], dtype=np.uint64).view(np.int64)
                 counts += np.bincount((shingles(lists, shingle)[1] >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
                 yield pd.DataFrame({"k": part["k"], "th": part["th"], "node": nodes, "slice": -1, "body": None})
-        for i, own in enumerate(np.split(counts, 1 << (COUNT_BITS - SLICE_BITS))):
-            if own.any():
-                yield pd.DataFrame({"k": [0], "th": [0], "node": [0], "slice": [i], "body": [own.astype("<i8").tobytes()]})
+        for i, body in count_slices(counts):
+            yield pd.DataFrame({"k": [0], "th": [0], "node": [0], "slice": [i], "body": [body]})
 
     rows = docs.select(id_key().alias("k"), F.xxhash64(text_bytes()).alias("th"), text_bytes().alias("text"))
     return rows.mapInPandas(work, "k bigint, th bigint, node bigint, slice int, body binary")
 
 
-def _class_counts(described: DataFrame) -> np.ndarray:
-    """How often the shingles of each class stand in all texts. A slice's rows are added as they stream through its task."""
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, total = None, None
-        for pdf in frames:
-            for i, body in zip(pdf["slice"].tolist(), pdf["body"], strict=True):
-                if i != now:
-                    if total is not None:
-                        yield pd.DataFrame({"slice": [now], "body": [total.tobytes()]})
-                    now, total = i, np.zeros(1 << SLICE_BITS, dtype=np.int64)
-                total += np.frombuffer(body, "<i8")
-        if total is not None:
-            yield pd.DataFrame({"slice": [now], "body": [total.tobytes()]})
-
-    rows = described.where("slice >= 0").select("slice", "body").repartition("slice").sortWithinPartitions("slice")
-    out = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
-    for r in rows.mapInPandas(work, "slice int, body binary").toLocalIterator():  # a table of fixed size
-        out[r.slice << SLICE_BITS : (r.slice + 1) << SLICE_BITS] = np.minimum(np.frombuffer(r.body, "<i8"), 2**32 - 1)
-    return out
-
-
 def prefix(doc: np.ndarray, hashes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which shingles, rarest first, stand in their text's prefix: index, place and size of the set.
 
@@ -451,7 +428,7 @@ def _groups(docs: DataFrame, shingle: int, similarity: float, block: int, reach:
     described = written(_described(docs, shingle), "described")
     marked = described.where("slice < 0").select("k", "th", "node")
     first = written(marked.groupBy("node").agg(F.min("k").alias("k")), "firsts")
-    tokens = written(_prefixes(docs, _class_counts(described), shingle, similarity), "prefixes")
+    tokens = written(_prefixes(docs, sum_slices(described.where("slice >= 0"), COUNT_BITS), shingle, similarity), "prefixes")
     alive = written(_in_company(tokens).withColumn("root", F.col("node")), "members")
     widest = alive.agg(F.max("size")).first()[0] or 0
     check, roots = _Checker(docs, first, shingle, similarity), None

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyline.llm import chat_format, components, cotraining, decontaminate, line_dedup, lm_scoring, sentencepiece_stream, simhash, substring_dedup, telephony, token_orc
+from tallyline.llm import chat_format, common, components, cotraining, decontaminate, exchange, line_dedup, lm_scoring, sentencepiece_stream, simhash, substring_dedup, telephony, token_orc
 from tallyline.llm.common import new_path, written
 
 WORDS = "the of and river stone glass amber quiet winter harbour lantern copper meadow signal thread ivory".split()
@@ -85,6 +85,45 @@ def test_line_dedup_odd(spark):
     assert line_dedup.repeated_runs(frame(spark, [])).count() == 0
 
 
+def plain_runs(rows, least):
+    """Each place's longest run that stands earlier, with its first source; runs within another left out."""
+    places = [(d, i) for d, t in rows for i in range(len((t or "").split("\n")))]
+    lines = {d: (t or "").split("\n") for d, t in rows}
+    out, reach = [], {}
+    for n, (d, i) in enumerate(places):
+        best, source = 0, None
+        for e, j in places[:n]:
+            k = 0
+            while i + k < len(lines[d]) and j + k < len(lines[e]) and lines[d][i + k] == lines[e][j + k]:
+                k += 1
+            if k > best:
+                best, source = k, (e, j)
+        if best >= least and i + best > reach.get(d, 0):
+            out.append((d, i, best, *source))
+        if best >= least:
+            reach[d] = max(reach.get(d, 0), i + best)
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_runs_are_maximal(spark, least):
+    rows = [(1, "a\nb\nc"), (2, "b\nc\nd"), (3, "z\na\nb\nc\nd"), (4, "y\na\nb\nc\nd")]
+    rng = random.Random(17)
+    rows += [(5 + i, "\n".join(rng.choice("abc") for _ in range(rng.choice([4, 9, 20])))) for i in range(8)]
+    rows.append((20, rows[-1][1] + "\nend"))
+    got = {tuple(r) for r in line_dedup.repeated_runs(frame(spark, rows), least).collect()}
+    assert got == set(plain_runs(rows, least)) and (least == 1 or (4, 1, 4, 3, 1) in got)
+
+
+def test_hot_lines(spark, monkeypatch):
+    """A line that most documents share is dealt over several tasks, with the same result."""
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    monkeypatch.setattr(common, "HOT_SHARE", 50)
+    rows = [(i, f"same\nsame\nline {i % 7}\nother {i}\nsame") for i in range(80)]
+    out = line_dedup.dedup_lines(frame(spark, rows, extra=False), 2)
+    same_rows([(r.doc_id, r.text, r.n_removed) for r in out.collect()], plain_lines(rows, 2))
+
+
 # ---- 2 ----
 
 
@@ -143,6 +182,24 @@ def test_streaming_equals_whole():
         assert scores(ids) == scores(sentencepiece_stream.encode_segment(v, s)) and b"".join(v.bytes[i] for i in ids).decode() == s
 
 
+def test_one_stream_for_whole_texts():
+    """A whole text in one stream gives the ids of its stretches, in a state of bounded size."""
+    codec, rng = sentencepiece_stream.Codec(PIECES), random.Random(12)
+    for text in [prose(rng, 400), "x" * 500, "日本語" * 100, "a▁b " * 60, "word\n\n\tword  "]:
+        stream, ids, most = sentencepiece_stream.StreamingViterbi(codec.v), [], 0
+        for i in range(0, len(text) + 1, 7):
+            ids += stream.feed((" " + text)[i : i + 7])
+            most = max(most, len(stream.text))
+        ids += stream.feed((" " + text)[i + 7 :]) + stream.finish()
+        assert np.array(ids, "<u4").tobytes() == codec.encode(text) and most <= 6 * codec.v.longest
+
+
+def test_model_without_byte_pieces():
+    v = sentencepiece_stream.Vocabulary(PIECES)
+    v.byte_ids = {}
+    assert sentencepiece_stream.encode_segment(v, "日▁")[-1] == v.unk
+
+
 def test_sentencepiece_documents(spark):
     rows = corpus()
     out = {r.doc_id: r for r in sentencepiece_stream.encoded_digest(frame(spark, rows), PIECES).collect()}
@@ -177,6 +234,23 @@ def test_token_orc(spark):
     assert len(odd) == 6 and sum(r.n_tokens for r in odd) == max(r.start + r.n_tokens for r in odd)
 
 
+WHOLE = "/root/testdata/sf0.01/documents.parquet"
+
+
+def test_token_orc_whole_table(spark):
+    """Every document of a whole table, against the library."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(WHOLE)
+    out = {r.doc_id: tuple(r)[1:] for r in token_orc.token_offsets(spark, token_orc.write_tokens(docs, BPE)).collect()}
+    t, start = Tokenizer.from_file(BPE), 0
+    for r in docs.select("doc_id", "text").orderBy("doc_id").collect():
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
+        assert out.pop(r.doc_id) == (start, len(ids), crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert not out
+
+
 def test_segments_equal_whole_texts():
     e = token_orc.SegmentEncoder(BPE)
     odd = ["", "  a  b \n\n c\t", "x<|endoftext|>y z", "a  b", "　 x", "don't  'll ,. ().", " ", "\n", "é ü\r\n ok", "a\x00b c", "it's. (so), 3.5"]
@@ -232,6 +306,35 @@ def test_media(spark):
     assert telephony.media_features(spark.read.parquet(telephony.store_media(frame(spark, ODD_IDS)))).count() == 6
 
 
+def test_media_nulls(spark):
+    made = telephony.store_media(frame(spark, [(1, "abc"), (2, None)]), pcm_rate=16000)
+    df = spark.read.parquet(made).withColumn("media", F.when(F.col("doc_id") == 1, F.col("media"))).withColumn("feature", F.lit(1))
+    out = {r.doc_id: r for r in telephony.media_features(df).collect()}
+    assert out[2].media_bytes is None and out[2].feature is None and out[1].payload_bytes == 64
+    assert telephony.media_features(df.withColumn("pcm", F.lit(None).cast("binary"))).where("doc_id = 1").first().feature.startswith("0.0.0.0|")
+
+
+def plain_feature(text):
+    """The features by steps of one sample."""
+    load = text + b"\0" * ((-len(text)) % 64 or (0 if text else 64))
+    pcm = [plain_mulaw(u) for u in load]
+    double = [x for a, b in zip(pcm, [*pcm[1:], pcm[-1]], strict=True) for x in (a, (a + b + 1) // 2)]
+    alaw = [int(telephony.ALAW[u]) for u in load]
+    adpcm = [x for i in range(0, len(load), 64) for x in plain_adpcm(load[i : i + 64])]
+    told = lambda x: f"{sum(v * v for v in x) // len(x)}.{sum(map(abs, x)) // len(x)}.{max(map(abs, x))}.{sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))}"
+    return "|".join(map(told, (double, alaw, adpcm)))
+
+
+def test_media_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in telephony.media_features(spark.read.parquet(telephony.store_media(docs, pcm_rate=16000))).collect():
+        t = texts[r.doc_id]
+        load = t + b"\0" * ((-len(t)) % 64 or (0 if t else 64))
+        media = telephony.wav(load, "mulaw")
+        assert tuple(r)[1:] == (len(t), len(load), hashlib.sha256(load).hexdigest(), crc32(load[-64:]), len(media), hashlib.sha256(media).hexdigest(), plain_feature(t))
+
+
 def test_query_stores_pcm(spark, monkeypatch):
     """The query stores the resampled samples, and its first loudness figures are those of the stored ones."""
     from tallyline.llm import registry
@@ -321,6 +424,25 @@ def test_lm_scores(spark):
     assert lm_scoring.score_documents(frame(spark, []), ids).count() == 0
 
 
+def test_lm_vocabulary_is_exact(spark):
+    rows = corpus(n=200)
+    lengths, n = lm_scoring._lengths_and_vocabulary(frame(spark, rows).repartition(5), 3)
+    words = {d: (t or "").encode().lower().split() for d, t in rows}
+    assert n == 1 + len({w for x in words.values() for w in x}) and {r.k: r.n for r in lengths.collect()} == {d: len(x) for d, x in words.items()}
+
+
+@pytest.mark.parametrize("fan", [1, 3])
+def test_grouped_messages(spark, fan, monkeypatch):
+    """Buckets in groups, in chunks of few bytes, give what single buckets give."""
+    monkeypatch.setattr(exchange, "MERGED", 2000)
+    rows = corpus(n=40)
+    got = substring_dedup.dedup_substrings(frame(spark, rows), 13, 3000, fan=fan)
+    same_rows([tuple(r) for r in got.collect()], plain_substrings(rows, 13))
+    ids = spark.createDataFrame([(1,), (5,)], "doc_id bigint")
+    one, two = (lm_scoring.score_documents(frame(spark, rows), ids, bucket_bytes=2000, fan=f).collect() for f in (10**6, fan))
+    same_rows(map(tuple, one), map(tuple, two))
+
+
 # ---- 7 ----
 
 
@@ -359,9 +481,35 @@ def test_chat(spark, size):
     assert chat_format.read_back(chat_format.format_conversations(df.limit(0), BPE)).count() == 0
 
 
+def test_loss_text_comes_from_the_mask(spark):
+    """A mask that leaves a token of an answer out gives another loss text; tokens of the template add nothing."""
+    df = spark.createDataFrame([(1, 0, "user", "a question"), (1, 1, "assistant", "\n\nan answer of some words\n"), (1, 2, "assistant", "é日本語")], "conv_id bigint, turn bigint, role string, text string")
+    made = written(chat_format.format_conversations(df, BPE), "chat", new_path(spark, "chat"))
+    good = chat_format.read_back(made).first()
+    assert good.loss_chars == 30 and good.loss_sha256 == hashlib.sha256("\n\nan answer of some words\né日本語".encode()).hexdigest()
+    first = F.array_position("mask", True).cast("int")
+    fewer = made.withColumn("mask", F.transform("mask", lambda x, i: x & (i != first + 3)))
+    assert chat_format.read_back(fewer).first().loss_chars < 30
+    every = made.withColumn("mask", F.transform("mask", lambda x: F.lit(True)))
+    assert chat_format.read_back(every).first().loss_sha256 == good.loss_sha256
+
+
 # ---- 8 ----
 
 
+@pytest.mark.parametrize("most", [0, 10, 1 << 20])
+def test_components(spark, most, monkeypatch):
+    """In one task, in rounds, and with the rows of large stars dealt over several tasks."""
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    rng = random.Random(most)
+    edges = [(rng.randrange(-60, 60) * 7, rng.randrange(-60, 60) * 7) for _ in range(50)] + [(1000, 1000 + i) for i in range(1, 30)] + [(5, 5)] + [(2000 + i, 2001 + i) for i in range(40)]
+    nodes = sorted({x for e in edges for x in e})
+    want = union(edges, nodes)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(4), most).collect()}
+    assert got == {n: t for n, t in want.items() if n != t}
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint"), most).count() == 0
+
+
 def plain_fingerprint(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     if not words:
@@ -507,6 +655,45 @@ def test_similar_documents_odd(spark):
     assert sorted(r.component_id for r in odd if r.doc_id is None) == [2, 7] and simhash.similar_documents(frame(spark, [])).count() == 0
 
 
+def test_first_of_similar(spark):
+    """One row of each group, whole; rows of one id with different texts are told apart."""
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "quite another text of many other words that stand alone here now"
+    rows = [(5, a), (3, a.upper()), (7, a + " x"), (7, b), (7, b), (9, None), (8, ""), (None, a), (None, b)]
+    out = simhash.first_of_similar(frame(spark, rows))
+    assert out.columns == frame(spark, rows).columns
+    same_rows([(r.doc_id, r.text) for r in out.collect()], [(3, a.upper()), (7, b), (8, ""), (None, a), (None, b)])
+    assert simhash.first_of_similar(frame(spark, [])).count() == 0
+
+
+def test_simhash_whole_table(spark):
+    """Every document of a whole table, against all pairs of fingerprints."""
+    docs = spark.read.parquet(WHOLE)
+    want = {r.doc_id: plain_fingerprint(r.text) for r in docs.collect()}
+    ids = sorted(want)
+    fps = np.array([want[d] for d in ids], dtype=np.uint64)
+    near = [(ids[i], ids[j]) for i in range(len(ids)) for j in (np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 4) + i + 1).tolist()]
+    top = union(near, ids)
+    same_rows([tuple(r) for r in simhash.near_duplicates(docs).collect()], [(d, f"{want[d]:016x}", top[d]) for d in ids])
+
+
+def test_similar_whole_table(spark):
+    """The exact closure over a whole table: every pair of texts that share a shingle is compared."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(WHOLE).collect()}
+    words = {d: (t or "").lower().split() for d, t in docs.items()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()} for d, w in words.items()}
+    shared: dict = {}
+    for d, s in sets.items():
+        for g in s:
+            shared.setdefault(g, []).append(d)
+    common_of: dict = {}
+    for members in shared.values():
+        for i, x in enumerate(members):
+            for y in members[i + 1 :]:
+                common_of[x, y] = common_of.get((x, y), 0) + 1
+    pairs = [(x, y) for (x, y), n in common_of.items() if n >= 0.8 * (len(sets[x]) + len(sets[y]) - n)]
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(spark.read.parquet(WHOLE)).collect()} == union(pairs, docs)
+
+
 # ---- 9 ----
 
 
@@ -538,6 +725,8 @@ def test_benchmark(spark, block):
     bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("term", F.lit(1))
     got = decontaminate.find_benchmark(frame(spark, rows), bench, shard_bytes=2000, block_bytes=block)
     same_rows([(r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got.collect()], plain_benchmark(rows, items))
+    for r in got.collect():  # spans are merged, in any number of blocks
+        assert all(x.stop < y.start for x, y in zip(r.spans, r.spans[1:], strict=False)) and sum(x.stop - x.start for x in r.spans) == r.n_hit
     assert decontaminate.find_benchmark(frame(spark, ODD_IDS), bench, block_bytes=block).count() == 6
     assert decontaminate.find_benchmark(frame(spark, []), bench).count() == 0
     assert decontaminate.find_benchmark(frame(spark, rows), bench.limit(0)).where("n_hit > 0").count() == 0
@@ -580,6 +769,15 @@ def test_substrings_odd(spark):
     assert substring_dedup.dedup_substrings(frame(spark, [])).count() == 0
 
 
+def test_frequent_pairs(spark):
+    """Windows of very frequent word pairs go by their own hashes."""
+    rows = [(i, "go on " * 20 + f"w{i % 5} " * 3 + "go on " * 10) for i in range(12)] + corpus(n=20)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    assert substring_dedup.frequent_pairs(frame(spark, rows), 50).any()
+    got = substring_dedup.dedup_substrings(frame(spark, rows), 5, 3000, common_least=50)
+    same_rows([tuple(r) for r in got.collect()], plain_substrings(rows, 5))
+
+
 def test_colliding_hashes():
     """Windows whose hashes meet are told apart by their words."""
     low = np.array([5, 9], dtype="<i8").tobytes()
