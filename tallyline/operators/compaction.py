@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,52 +38,97 @@ def compacted(log: DataFrame) -> DataFrame:
 
 
 class Store:
-    """A log as versioned Parquet folders and one small pointer file that names the valid one.
+    """A log as versioned Parquet folders and numbered pointer files, of which the last names the valid folders.
 
-    A new version is written whole before the pointer moves, so a crash leaves the old version or the new one; nothing is
-    rewritten in place. The pointer also keeps the highest id ever given, for compaction may drop the rows that show it.
+    A new version is written whole before a pointer names it. A pointer is made under a name that must not be there yet, so of
+    two writers that start from one pointer the later has to start again from the other's: no append and no compaction is
+    lost. The pointer also keeps the highest id ever given, for compaction may drop the rows that show it, and
+    the folders that the last compaction replaced, which the next one removes: a reader keeps what it started with.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _state(self) -> dict:
-        p = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(p):
-            return {"versions": [], "high_water": 0}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/CURRENT").collect()))
+    def _names(self) -> list[str]:
+        root = self._path(self.path)
+        return [f.getPath().getName() for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
 
-    def _point(self, state: dict) -> None:
-        new, old = self._path(f"{self.path}/CURRENT.{uuid.uuid4().hex}"), self._path(f"{self.path}/CURRENT")
+    def _state(self) -> tuple[int, dict]:
+        """The last pointer's number and content."""
+        last = max((int(x[8:]) for x in self._names() if x.startswith("CURRENT-")), default=0)
+        if not last:
+            return 0, {"versions": [], "high_water": 0, "retired": []}
+        return last, json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/CURRENT-{last:010d}").collect()))
+
+    def _point(self, number: int, state: dict) -> bool:
+        """Whether the pointer of this number could be made."""
+        new, to = self._path(f"{self.path}/.pointer-{uuid.uuid4().hex}"), self._path(f"{self.path}/CURRENT-{number:010d}")
         out = self._fs.create(new, True)
         out.write(json.dumps(state).encode())
         out.close()
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri())
-        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(new, old, options)
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri()).rename(new, to, options)
+        except Py4JJavaError as e:
+            self._fs.delete(new, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
 
     def append(self, events: DataFrame) -> None:
-        state, name = self._state(), f"v-{uuid.uuid4().hex}"
+        name = f"v-{uuid.uuid4().hex}"
         events.write.parquet(f"{self.path}/{name}")
         top = self.spark.read.parquet(f"{self.path}/{name}").agg(F.max("id")).first()[0] or 0
-        self._point({"versions": [*state["versions"], name], "high_water": max(state["high_water"], top)})
+        while True:
+            number, state = self._state()
+            if self._point(number + 1, state | {"versions": [*state["versions"], name], "high_water": max(state["high_water"], top)}):
+                return
+
+    def _read(self, state: dict) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{v}" for v in state["versions"]])
+
+    def is_empty(self) -> bool:
+        return not self._state()[1]["versions"]
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/{v}" for v in self._state()["versions"]])
+        return self._read(self._state()[1])
 
     def high_water(self) -> int:
-        return self._state()["high_water"]
+        return self._state()[1]["high_water"]
 
     def compact(self) -> bool:
-        """Whether there was a closed segment to compact."""
-        log = self.read()
-        if closed(log).isEmpty():
-            return False
-        state, name = self._state(), f"v-{uuid.uuid4().hex}"
-        compacted(log).write.parquet(f"{self.path}/{name}")
-        self._point({"versions": [name], "high_water": state["high_water"]})
-        return True
+        """Whether there was a closed segment to compact. Only the folders that were there at the start are rewritten; what
+        is appended meanwhile follows them."""
+        while True:
+            start = self._state()[1]
+            if not start["versions"]:
+                return False
+            log = self._read(start)
+            if closed(log).isEmpty():
+                return False
+            name = f"v-{uuid.uuid4().hex}"
+            compacted(log).write.parquet(f"{self.path}/{name}")
+            while True:
+                number, state = self._state()
+                if not set(start["versions"]) <= set(state["versions"]):
+                    self._fs.delete(self._path(f"{self.path}/{name}"), True)  # another compaction was first
+                    break
+                later = [v for v in state["versions"] if v not in start["versions"]]
+                if self._point(number + 1, state | {"versions": [name, *later], "retired": start["versions"]}):
+                    for old in state["retired"]:
+                        self._fs.delete(self._path(f"{self.path}/{old}"), True)
+                    return True
+
+    def repair(self) -> list[str]:
+        """Removes what a crash left: folders and pointers in the making that no pointer names. Only while no writer is at work."""
+        number, state = self._state()
+        named = {*state["versions"], *state["retired"], f"CURRENT-{number:010d}"}
+        left = [x for x in self._names() if x not in named and x.startswith(("v-", ".pointer-", "CURRENT-"))]
+        for x in left:
+            self._fs.delete(self._path(f"{self.path}/{x}"), True)
+        return left

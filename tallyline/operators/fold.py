@@ -54,12 +54,14 @@ def pop_per_queue(tasks: DataFrame, k: int, order: str = "pos", queue: str = "qu
 
 
 def payloads(log: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """The payload of each live task: of the last Created after the last end of the task, else of the first later event."""
-    ended = log.where(F.col("op").isin(ACKED, DEAD)).groupBy(*keys).agg(F.max("pos").alias("__end"))
-    live = log.join(ended, list(keys), "left").where("__end is null or pos > __end")
-    made = F.col("op") == CREATED
-    both = live.groupBy(*keys).agg(F.max_by("payload", F.when(made, F.col("pos"))).alias("__made"), F.count_if(made).alias("__n"), F.min_by("payload", F.when(F.col("op").isin(LEASED, NACKED, EXPIRED), F.col("pos"))).alias("__other"))
-    return both.select(*keys, F.when(F.col("__n") > 0, F.col("__made")).otherwise(F.col("__other")).alias("payload"))
+    """The payload of each live task: of the last Created after the last end of the task, else of the first later event. The
+    place is found first, with columns of fixed width only; payloads of other events are never shuffled with it."""
+    slim = log.select(*keys, "op", "pos")
+    ended = slim.where(F.col("op").isin(ACKED, DEAD)).groupBy(*keys).agg(F.max("pos").alias("__end"))
+    live = slim.join(ended, list(keys), "left").where("__end is null or pos > __end")
+    made, other = F.max(F.when(F.col("op") == CREATED, F.col("pos"))), F.min(F.when(F.col("op").isin(LEASED, NACKED, EXPIRED), F.col("pos")))
+    places = live.groupBy(*keys).agg(F.coalesce(made, other).alias("pos"))
+    return log.select(*keys, "pos", "payload").join(places, [*keys, "pos"]).select(*keys, "payload")
 
 
 def status(tasks: DataFrame, queue: str = "queue") -> DataFrame:

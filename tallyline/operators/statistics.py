@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def run_figures(runs: DataFrame, by: str, value: str) -> DataFrame:
-    v = F.col(value)
-    return runs.groupBy(by).agg(F.count("*").alias("runs"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("stddev"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.sum(v) / F.count("*"), 4).alias("throughput"), F.bool_and(v >= 0).alias("all_ok"))
+def run_figures(runs: DataFrame, by: str, value: str, at: str) -> DataFrame:
+    """runs: a value and a time in microseconds for each operation. throughput is operations by elapsed seconds, null for none."""
+    v, elapsed = F.col(value), F.max(at) - F.min(at)
+    figures = [F.count("*").alias("runs"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("stddev"), F.min(v).alias("least"), F.max(v).alias("most")]
+    throughput = F.when(elapsed > 0, F.round(F.count("*") * 1e6 / elapsed, 6))
+    return runs.groupBy(by).agg(*figures, throughput.alias("throughput"), F.bool_and(v >= 0).alias("all_ok"))
 
 
 def quantiles(runs: DataFrame, by: str, value: str) -> DataFrame:
@@ -16,7 +19,9 @@ def quantiles(runs: DataFrame, by: str, value: str) -> DataFrame:
     return runs.groupBy(by).agg(*[F.round(F.percentile(value, q), 6).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))])
 
 
-def integrity(tasks: DataFrame) -> DataFrame:
-    """Whether what was pushed equals what is ready, leased, acknowledged or dead."""
-    count = lambda s: F.count_if(F.col("state") == s)
-    return tasks.groupBy("queue").agg(F.count("*").alias("pushed"), (count("ready") + count("leased") + count("acked") + count("dead")).alias("found")).withColumn("ok", F.col("pushed") == F.col("found"))
+def integrity(pushed: DataFrame, live: DataFrame, ended: DataFrame, by: str) -> DataFrame:
+    """Whether what was pushed equals what is found: ids of the log, of live tasks in a store, and of tasks that ended."""
+    counts = [x.select(by, "id").distinct().groupBy(by).agg(F.count("*").alias(n)) for x, n in ((pushed, "pushed"), (live, "live"), (ended, "ended"))]
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = counts[0].join(counts[1], by, "full").join(counts[2], by, "full").select(by, *[zero(c) for c in ("pushed", "live", "ended")])
+    return out.withColumn("ok", F.col("pushed") == F.col("live") + F.col("ended"))

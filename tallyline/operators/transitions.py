@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from tallyline.plans.views import ACKED, CREATED, DEAD, EXPIRED, LEASED, MAX_FAILURES, NACKED
 
 
-def push(log: DataFrame, arrivals: DataFrame, first_id: int, order: str) -> DataFrame:
-    """arrivals (any order column, payload, priority) as Created events with ids that follow on without gaps."""
-    n = F.row_number().over(Window.orderBy(order))
-    rows = arrivals.select((n - 1 + F.lit(first_id)).cast("bigint").alias("id"), F.lit(CREATED).cast("bigint").alias("op"), F.col("priority").cast("bigint").alias("priority"), "payload")
+def push(log: DataFrame | None, arrivals: DataFrame, first_id: int, order: str, keep: tuple[str, ...] = ("payload",), blocks: int = 4096) -> DataFrame:
+    """arrivals (order: a bigint column; priority; keep) as Created events with ids that follow on without gaps.
+
+    Arrivals are numbered within ranges of the order, which the sizes of the ranges before shift, so no task sees all of them.
+    """
+    low, high = arrivals.agg(F.min(order), F.max(order)).first()
+    width = 1 if low is None else (high - low) // blocks + 1
+    t = arrivals.withColumn("__block", F.floor((F.col(order) - F.lit(low or 0)) / width))
+    sizes = t.groupBy("__block").agg(F.count("*").alias("__n"))  # at most `blocks` + 1 rows
+    shifts = sizes.select("__block", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
+    n = F.row_number().over(Window.partitionBy("__block").orderBy(order))
+    numbered = t.withColumn("__i", n).join(F.broadcast(shifts), "__block")
+    rows = numbered.select((F.col("__i") + F.col("__shift") - 1 + F.lit(first_id)).cast("bigint").alias("id"), F.lit(CREATED).cast("bigint").alias("op"), F.col("priority").cast("bigint").alias("priority"), *keep)
     return rows if log is None else log.unionByName(rows, allowMissingColumns=True)
 
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PUSH, POP, REPLY = "payload string, priority int", "consumer_id bigint, lease_secs bigint, wait_secs bigint", "consumer_id bigint"
+PUSH = "payload string, priority int"
 
 
 def parse_push(body: Column) -> Column:
-    """payload (binary, null if it is not base64) and priority of a push request."""
+    """payload (binary, null if it is not base64), priority (0 to 255, 0 where missing, null if out of range) and status (400 for
+    either fault, else 201) of a push request."""
     r = F.from_json(body, PUSH)
-    return F.struct(F.try_to_binary(r["payload"], F.lit("base64")).alias("payload"), F.coalesce(r["priority"], F.lit(0)).cast("bigint").alias("priority"))
+    payload, priority = F.try_to_binary(r["payload"], F.lit("base64")), F.coalesce(r["priority"], F.lit(0)).cast("bigint")
+    fine = priority.between(0, 255)
+    return F.struct(payload.alias("payload"), F.when(fine, priority).alias("priority"), F.when(payload.isNotNull() & fine, 201).otherwise(400).cast("bigint").alias("status"))
 
 
 def push_response(id_: Column) -> Column:

@@ -31,7 +31,11 @@ def query(sql: str | None = None):
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh folder that all machines share: under spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyline-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tallyline-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -89,9 +93,8 @@ def next_id(spark, d):
 @query("SELECT event_id AS seq, row_number() OVER (ORDER BY event_id) + 1000000 AS id, 0::BIGINT AS op, (user_id * 37) % 256 AS priority FROM events WHERE event_type = 'signup'")
 def push_ids(spark, d):
     """Ids without gaps: ranks within blocks of the arrival order, shifted by the blocks before."""
-    new = queue_log(spark, d).where("op = 0").select(F.col("pos").alias("seq"), F.lit(0).cast("bigint").alias("priority_"), "priority", "pos")
-    ranked = fold.dispatch_rank(new.select("seq", F.col("priority").alias("p"), F.lit(0).alias("priority"), "pos"))
-    return ranked.select("seq", (F.col("dispatch_rank") + 1000000).alias("id"), F.lit(0).cast("bigint").alias("op"), F.col("p").alias("priority"))
+    new = queue_log(spark, d).where("op = 0").withColumnRenamed("pos", "seq")
+    return transitions.push(None, new, 1000001, "seq", keep=("seq",)).select("seq", "id", "op", "priority")
 
 
 @query(f"WITH {TASKS} SELECT id, queue, priority FROM tasks WHERE state = 'ready' ORDER BY priority DESC, id LIMIT 25")
@@ -233,7 +236,11 @@ def _frames(spark, d):
     return log.select("pos", "id", "op", "priority", "payload", codec.encode(F.col("op"), F.col("priority"), F.col("id"), F.col("payload")).alias("frame"))
 
 
-@query()
+@query(f"""WITH {LOG}, t AS (SELECT list(list_reduce(list_concat([n::UBIGINT], list_transform(range(8), lambda i: 0::UBIGINT)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::UBIGINT) ELSE a // 2 END) ORDER BY n) AS tab FROM range(256) r(n)),
+b AS (SELECT pos, printf('%02X%02X', op, priority) || printf('%016X', id) || printf('%08X', strlen(payload)) || hex(encode(payload)) AS body FROM log),
+c AS (SELECT pos, body, list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(len(body) // 2), lambda i: ((instr('0123456789ABCDEF', body[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', body[2 * i + 2]) - 1)::UBIGINT)),
+  lambda c, x: xor(c // 256, tab[(xor(c % 256, x) + 1)::BIGINT])) AS crc FROM b, t)
+SELECT pos, '4E' || printf('%08X', xor(crc, 4294967295::UBIGINT)::BIGINT) || body AS frame FROM c""")
 def frame_encode(spark, d):
     return _frames(spark, d).select("pos", F.hex("frame").alias("frame"))
 
@@ -311,9 +318,10 @@ def group_commit_capped(spark, d):
     return batching.capped_batches(_arrivals(spark, d), 600_000_000, 8)
 
 
-@query("SELECT event_type, count(*) AS runs, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS stddev, min(value) AS least, max(value) AS most, round(sum(value) / count(*), 4) AS throughput, bool_and(value >= 0) AS all_ok FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS runs, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS stddev, min(value) AS least, max(value) AS most, CASE WHEN max(epoch_us(ts)) > min(epoch_us(ts)) THEN round(count(*) * 1000000::DOUBLE / (max(epoch_us(ts)) - min(epoch_us(ts))), 6) END AS throughput, bool_and(value >= 0) AS all_ok FROM events GROUP BY 1")
 def bench_stats(spark, d):
-    return statistics.run_figures(table(spark, d, "events"), "event_type", "value")
+    e = table(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    return statistics.run_figures(e, "event_type", "value", "at")
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
@@ -321,9 +329,16 @@ def bench_quantiles(spark, d):
     return statistics.quantiles(table(spark, d, "events"), "event_type", "value")
 
 
-@query(f"WITH {TASKS} SELECT queue, count(*) AS pushed, count(*) FILTER (state IN ('ready', 'leased', 'acked', 'dead')) AS found, true AS ok FROM tasks GROUP BY 1")
+@query(f"WITH {LATEST}, n AS (SELECT id % 4 AS lane, count(*) AS pushed, count(*) FILTER (op NOT IN (2, 5)) AS live, count(*) FILTER (op IN (2, 5)) AS ended FROM latest GROUP BY 1) SELECT *, pushed = live + ended AS ok FROM n")
 def integrity_check(spark, d):
-    return statistics.integrity(task_table(spark, d))
+    """Ids of the log against live tasks found in a store that was compacted, and tasks that the log says have ended."""
+    log = queue_log(spark, d).withColumn("lane", F.col("id") % 4)
+    store = compaction.Store(spark, scratch(spark, "integrity"))
+    store.append(log.drop("lane"))
+    store.compact()
+    live = fold.latest(store.read(), columns=("op",)).where(~F.col("op").isin(2, 5)).withColumn("lane", F.col("id") % 4)
+    ended = fold.latest(log, columns=("op", "lane")).where(F.col("op").isin(2, 5))
+    return statistics.integrity(log, live, ended, "lane")
 
 
 @query(f"WITH {TASKS} SELECT id, queue, priority, 'ready' AS state FROM tasks")

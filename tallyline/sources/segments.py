@@ -12,9 +12,11 @@ from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from tallyline.functions.codec import HEADER, MAGIC, MAX_PAYLOAD
+from tallyline.operators.batching import rotate
 
 SCHEMA = "segment_id bigint, offset bigint, id bigint, op bigint, priority bigint, payload binary"
 SEGMENT_BYTES = 64 << 20
@@ -109,10 +111,13 @@ class SegmentReader(DataSourceReader):
 
 
 class SegmentWriter(DataSourceWriter):
-    """Each task writes the segments that its rows name, to temporary files that the commit renames."""
+    """Each task writes the segments that its rows name, to temporary files that the commit renames.
 
-    def __init__(self, path: str):
-        self.path = path
+    A segment is written once: appending refuses a number that is there already, overwriting replaces all segments.
+    """
+
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator):
         import uuid
@@ -126,6 +131,8 @@ class SegmentWriter(DataSourceWriter):
                 if out:
                     out.close()
                     written.append((segment, temp))
+                if any(s == row.segment_id for s, _ in written):
+                    raise ValueError(f"the rows of segment {row.segment_id} do not come together")
                 segment, temp = row.segment_id, f"{path}/.{uuid.uuid4().hex}.tmp"
                 out = store.open_output_stream(temp)
             f = frame(row.op, row.priority, row.id, bytes(row.payload or b""))
@@ -137,11 +144,20 @@ class SegmentWriter(DataSourceWriter):
         return _Done(";".join(f"{s}={t}" for s, t in written), size)
 
     def commit(self, messages):
+        from pyarrow.fs import FileSelector
+
         store, path = _store(self.path)
-        for m in messages:
-            for item in filter(None, m.path.split(";") if m else ()):
-                segment, temp = item.split("=", 1)
-                store.move(temp, f"{path}/{int(segment):05d}.wal")
+        new = [(int(s), t) for m in messages for s, t in (x.split("=", 1) for x in filter(None, m.path.split(";") if m else ()))]
+        old = {segment_number(f.path): f.path for f in store.get_file_info(FileSelector(path, allow_not_found=True)) if f.path.endswith(".wal")}
+        twice = {s for i, (s, _) in enumerate(new) if s in {x for x, _ in new[:i]} or s in old and not self.overwrite}
+        if twice:
+            self.abort(messages)
+            raise FileExistsError(f"segments {sorted(twice)} of {path} are there already")
+        for segment, temp in new:
+            store.move(temp, f"{path}/{segment:05d}.wal")
+        for segment, name in old.items():
+            if self.overwrite and segment not in {s for s, _ in new}:
+                store.delete_file(name)
 
     def abort(self, messages):
         store, _ = _store(self.path)
@@ -162,7 +178,7 @@ class SegmentSource(DataSource):
         return SegmentReader(self.options["path"], self.options.get("policy", "skip"))
 
     def writer(self, schema, overwrite):
-        return SegmentWriter(self.options["path"])
+        return SegmentWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -171,8 +187,36 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SegmentSource)
 
 
-def write_segments(log: DataFrame, path: str) -> None:
-    """Writes log (segment_id, offset, id, op, priority, payload); the rows of a segment come together, in order."""
+def write_segments(log: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Writes log (segment_id, offset, id, op, priority, payload); the rows of a segment come together, in order. Numbers of
+    segments that are there already are refused; with overwrite all segments are replaced."""
     register(log.sparkSession)
     rows = log.select("segment_id", "offset", "id", "op", "priority", "payload").repartition("segment_id").sortWithinPartitions("segment_id", "offset")
-    rows.write.format("queue_segments").mode("append").option("path", path).save()
+    rows.write.format("queue_segments").mode("overwrite" if overwrite else "append").option("path", path).save()
+
+
+def append_log(events: DataFrame, path: str, limit: int = SEGMENT_BYTES) -> DataFrame:
+    """Appends events (seq, id, op, priority, payload) in the order of seq, in segments of `limit` bytes that follow those that
+    are there; a closed file is never opened again. Returns seq, segment_id and offset of each event.
+
+    Only sizes go through the one task that must see them in order; payloads join their places after.
+    """
+    from pyarrow.fs import FileSelector
+
+    store, folder = _store(path)
+    there = [segment_number(f.path) for f in store.get_file_info(FileSelector(folder, allow_not_found=True)) if f.path.endswith(".wal")]
+    sizes = events.select(F.lit("").alias("queue"), "seq", (F.coalesce(F.octet_length("payload"), F.lit(0)) + HEADER).cast("bigint").alias("size"))
+    places = rotate(sizes, limit).select("seq", (F.col("segment_id") + max(there, default=0)).alias("segment_id"), "offset")
+    write_segments(events.join(places, "seq"), path)
+    return places
+
+
+def repair(path: str) -> list[str]:
+    """Removes temporary files that no commit named. Only while no writer is at work."""
+    from pyarrow.fs import FileSelector
+
+    store, folder = _store(path)
+    left = [f.path for f in store.get_file_info(FileSelector(folder, allow_not_found=True)) if f.path.endswith(".tmp")]
+    for name in left:
+        store.delete_file(name)
+    return left

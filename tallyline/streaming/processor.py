@@ -15,7 +15,8 @@ OUT = "id bigint, op bigint, pos bigint, priority bigint, retries bigint"
 
 
 class LatestEvent(StatefulProcessor):
-    """Keeps the latest event of each task and sends every change; a lease with an end in milliseconds can be given a timer."""
+    """Keeps the latest event of each task and sends the last change of each batch; a lease with an end in milliseconds can be
+    given a timer. An expiry sent by a timer has the lease's place: whoever appends it to a log gives it a new one there."""
 
     def __init__(self, timers: bool = False):
         self.timers = timers
@@ -72,11 +73,15 @@ def stream_latest(events: DataFrame, path: str, checkpoint: str, timers: bool =
 RESPONSES = "queue string, seq bigint, status bigint, error string, id bigint, priority bigint, retries bigint, payload binary"
 
 
+NOTHING = (204, None, None, None, None, None)
+
+
 class Machine:
     """One queue. Pops give the highest priority, then the oldest entry; a task given back goes behind its peers."""
 
     def __init__(self):
         self.next_id, self.order, self.ready, self.leased, self.data = 1, 0, {}, {}, {}
+        self.ended, self.waiting = 0, []
 
     def _enqueue(self, id_: int, priority: int, retries: int) -> None:
         self.ready.setdefault(priority, {})[id_] = retries
@@ -89,11 +94,53 @@ class Machine:
         _, _, priority, retries = self.leased.pop(id_)
         if retries + 1 >= MAX_FAILURES:
             self.data.pop(id_, None)
+            self.ended += 1
         else:
             self._enqueue(id_, priority, retries + 1)
 
+    def step(self, c) -> list[tuple]:
+        """(seq, response) of a command and of the waiting pops that it, or the time, brings to an end."""
+        wait, empty = getattr(c, "wait_secs", None), not any(self.ready.values())
+        if c.cmd == "pop" and wait and empty and None not in (c.consumer_id, c.lease_secs, c.now_s):
+            out = self._answers(c.now_s)
+            self.waiting.append((int(c.now_s) + int(wait), c))
+            return out
+        return [(c.seq, self.apply(c)), *self._answers(c.now_s)]
+
+    def _answers(self, now) -> list[tuple]:
+        """Pops that waited: the first in line gets the next task; one whose time is over gets none."""
+        out, still = [], []
+        for until, c in self.waiting:
+            if now is None or int(now) < until:
+                got = self._pop(c, int(c.now_s if now is None else now)) if any(self.ready.values()) else None
+                out += [(c.seq, got)] if got else []
+                still += [] if got else [(until, c)]
+            else:
+                out.append((c.seq, NOTHING))
+        self.waiting = still
+        return out
+
+    def close(self) -> list[tuple]:
+        """No more commands: pops that still wait get nothing."""
+        return [(c.seq, NOTHING) for _, c in self.waiting]
+
+    def _pop(self, c, now: int) -> tuple:
+        full = [p for p, x in self.ready.items() if x]
+        if not full:
+            return NOTHING
+        p = max(full)
+        id_ = next(iter(self.ready[p]))
+        retries = self.ready[p].pop(id_)
+        self.leased[id_] = (int(c.consumer_id), now + int(c.lease_secs), p, retries)
+        return 200, None, id_, p, retries, self.data[id_]
+
     def apply(self, c) -> tuple:
-        """status, error, id, priority, retries, payload."""
+        """status, error, id, priority, retries, payload. What a command needs and does not have is answered by 400."""
+        needs = {"pop": ("consumer_id", "lease_secs", "now_s"), "ack": ("id", "consumer_id"), "nack": ("id", "consumer_id"), "tick": ("now_s",)}
+        if any(getattr(c, name) is None for name in needs.get(c.cmd, ())):
+            return 400, "bad_request", None, None, None, None
+        if c.cmd in ("status", "compact") and self.next_id == 1:
+            return 404, "not_found", None, None, None, None
         if c.cmd == "push":
             if c.payload is None or not 0 <= (c.priority or 0) <= 255:
                 return 400, "bad_request", None, None, None, None
@@ -102,14 +149,7 @@ class Machine:
             self._enqueue(id_, int(c.priority or 0), 0)
             return 201, None, id_, int(c.priority or 0), 0, None
         if c.cmd == "pop":
-            full = [p for p, x in self.ready.items() if x]
-            if not full:
-                return 204, None, None, None, None, None
-            p = max(full)
-            id_ = next(iter(self.ready[p]))
-            retries = self.ready[p].pop(id_)
-            self.leased[id_] = (int(c.consumer_id), int(c.now_s) + int(c.lease_secs), p, retries)
-            return 200, None, id_, p, retries, self.data[id_]
+            return self._pop(c, int(c.now_s))
         if c.cmd in ("ack", "nack"):
             id_ = int(c.id)
             if id_ not in self.leased:
@@ -119,21 +159,33 @@ class Machine:
             if c.cmd == "ack":
                 del self.leased[id_]
                 self.data.pop(id_, None)
+                self.ended += 1
             else:
                 self._fail(id_)
             return 200, None, id_, None, None, None
         if c.cmd == "tick":
             self.expire(int(c.now_s))
             return 200, None, None, None, None, None
+        if c.cmd == "compact":
+            gone, self.ended = self.ended, 0
+            return 200, None, None, int(gone > 0), gone, None
         if c.cmd == "status":
             return 200, None, None, sum(map(len, self.ready.values())), len(self.leased), None
         return 400, "bad_request", None, None, None, None
 
 
+def _responses(rows: list[tuple]) -> pd.DataFrame:
+    made = pd.DataFrame(rows, columns=["queue", "seq", "status", "error", "id", "priority", "retries", "payload"])
+    return made.astype({c: "Int64" for c in ("id", "priority", "retries")})
+
+
 def fold_commands(commands: DataFrame) -> DataFrame:
-    """commands: queue, seq, now_s, cmd (push, pop, ack, nack, tick, status), id, consumer_id, lease_secs, priority, payload.
+    """commands: queue, seq, now_s, cmd (push, pop, ack, nack, tick, status, compact), id, consumer_id, lease_secs, priority,
+    payload and, where there is such a column, wait_secs.
 
-    One response for each command; status answers with ready tasks as priority and leases as retries. Commands of a queue
+    One response for each command; status answers with ready tasks as priority and leases as retries, compact with whether
+    ended tasks were dropped and how many; both say 404 for a queue without a push. A pop with wait_secs that finds
+    nothing is answered when a task gets ready before its time is over, by 204 else. Commands of a queue
     depend on each other, so a queue streams through one task in order, with the state of its live tasks; queues are parallel.
     """
     rows = commands.repartition("queue").sortWithinPartitions("queue", "seq")
@@ -144,10 +196,12 @@ def fold_commands(commands: DataFrame) -> DataFrame:
             out = []
             for c in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
                 if machine is None or c.queue != name:
+                    out += [(name, seq, *told) for seq, told in (machine.close() if machine else ())]
                     name, machine = c.queue, Machine()
-                out.append((c.queue, c.seq, *machine.apply(c)))
-            made = pd.DataFrame(out, columns=["queue", "seq", "status", "error", "id", "priority", "retries", "payload"])
-            yield made.astype({c: "Int64" for c in ("id", "priority", "retries")})
+                out += [(c.queue, seq, *told) for seq, told in machine.step(c)]
+            yield _responses(out)
+        if machine:
+            yield _responses([(name, seq, *told) for seq, told in machine.close()])
 
     return rows.mapInPandas(work, RESPONSES)
 

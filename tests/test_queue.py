@@ -116,6 +116,49 @@ def test_payload_after_an_end_is_the_new_one(spark):
     assert {r.id: r.payload for r in fold.payloads(log(spark, events)).collect()} == {1: "new", 2: "carried"}
 
 
+def test_append_during_compaction(spark, tmp_path, monkeypatch):
+    """What comes in while the closed segments are rewritten stays, and an end that comes then is not undone."""
+    store = compaction.Store(spark, str(tmp_path))
+    store.append(log(spark, [(i % 3 + 1, CREATED) for i in range(12)]))
+    late = log(spark, [(7, CREATED), (1, ACKED)]).withColumns({"pos": F.col("pos") + 100, "segment_id": F.col("segment_id") + 10})
+    real = compaction.compacted
+
+    def meanwhile(events):
+        monkeypatch.setattr(compaction, "compacted", real)
+        store.append(late)
+        return real(events)
+
+    monkeypatch.setattr(compaction, "compacted", meanwhile)
+    assert store.compact()
+    assert sorted(r.id for r in fold.ready(store.read(), 0).collect()) == [2, 3, 7] and store.high_water() == 7
+    number, state = store._state()
+    assert not store._point(number, state)  # a pointer is made once
+    (tmp_path / "v-left").mkdir()
+    assert "v-left" in store.repair() and store.compact() and sorted(r.id for r in fold.ready(store.read(), 0).collect()) == [2, 3, 7]
+
+
+def test_two_compactions(spark, tmp_path, monkeypatch):
+    """Of two compactions at once the later starts again from the other's result."""
+    one, two = (compaction.Store(spark, str(tmp_path)) for _ in range(2))
+    one.append(log(spark, [(i % 4 + 1, CREATED) for i in range(15)]))
+    real = compaction.compacted
+
+    def meanwhile(events):
+        monkeypatch.setattr(compaction, "compacted", real)
+        assert two.compact()
+        return real(events)
+
+    monkeypatch.setattr(compaction, "compacted", meanwhile)
+    one.compact()
+    assert sorted(r.id for r in fold.ready(one.read(), 0).collect()) == [1, 2, 3, 4]
+
+
+def test_push_numbers_without_gaps(spark):
+    arrivals = spark.createDataFrame([(i * i * 1000, i % 5, b"x") for i in range(50)], "seq bigint, priority bigint, payload binary")
+    got = transitions.push(None, arrivals, 7, "seq", keep=("seq", "payload"), blocks=6).orderBy("seq").collect()
+    assert [r.id for r in got] == list(range(7, 57)) and transitions.push(None, arrivals.limit(0), 1, "seq").count() == 0
+
+
 # ---- frames ----
 
 
@@ -160,6 +203,22 @@ def test_written_segments(spark, tmp_path):
     assert got.count() == 100 and got.groupBy("segment_id").count().where("count = 10").count() == 10
 
 
+def test_segments_are_written_once(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows = lambda ids, segment: spark.createDataFrame([(segment, i, i, 0, 0, b"x") for i in ids], segments.SCHEMA)
+    segments.write_segments(rows([1, 2], 1), path)
+    with pytest.raises(Exception, match="there already"):
+        segments.write_segments(rows([3], 1), path)
+    ids = lambda: sorted(r.id for r in segments.read_segments(spark, path).collect())
+    assert ids() == [1, 2]
+    events = spark.createDataFrame([(i, i, 0, 0, b"y" * 81) for i in range(3, 13)], "seq bigint, id bigint, op bigint, priority bigint, payload binary")
+    assert {r.segment_id for r in segments.append_log(events, path, 250).collect()} == {2, 3, 4, 5} and ids() == list(range(1, 13))
+    (tmp_path / "s" / ".left.tmp").write_bytes(b"")
+    assert len(segments.repair(path)) == 1
+    segments.write_segments(rows([99], 2), path, overwrite=True)
+    assert ids() == [99]
+
+
 # ---- batches, bodies ----
 
 
@@ -181,6 +240,8 @@ def test_batches(spark):
 def test_bodies(spark):
     df = spark.createDataFrame([('{"payload":"aGk=","priority":3}',), ('{"payload":"*"}',)], "body string").select(http.parse_push(F.col("body")).alias("r"))
     assert [(r.r.payload and bytes(r.r.payload), r.r.priority) for r in df.collect()] == [(b"hi", 3), (None, 0)]
+    high = spark.createDataFrame([('{"payload":"aGk=","priority":300}',), ('{"payload":"aGk=","priority":255}',)], "body string").select(http.parse_push(F.col("body")).alias("r"))
+    assert [(r.r.priority, r.r.status) for r in high.collect()] == [(None, 400), (255, 201)]
     one = spark.range(1).select(http.pop_response(F.lit(1), F.lit(b"hi"), F.lit(2), F.lit(0)).alias("a"), http.error_response(F.lit("conflict"), F.lit("m")).alias("b")).first()
     assert one.a == '{"id":1,"payload":"aGk=","priority":2,"retries":0}' and one.b == '{"error":"conflict","message":"m"}'
 
@@ -211,6 +272,68 @@ def test_expiry_and_late_answers(spark):
     assert [r.status for r in out] == [201, 200, 200, 200, 409, 409, 200] and out[3].retries == 1
 
 
+def test_missing_values(spark):
+    """What is missing is answered by 400, and a queue without a push by 404."""
+    rows = [("q", 0, 0, "status", None, None, None, None, None), ("q", 1, 0, "push", None, None, None, 300, b"x"), ("q", 2, 0, "push", None, None, None, None, b"x"), ("q", 3, 0, "pop", None, None, 5, None, None), ("q", 4, None, "pop", None, 1, 5, None, None), ("q", 5, 0, "ack", None, 1, None, None, None), ("q", 6, None, "tick", None, None, None, None, None), ("q", 7, 0, "compact", None, None, None, None, None)]
+    assert [r.status for r in processor.fold_commands(spark.createDataFrame(rows, COMMANDS)).orderBy("seq").collect()] == [404, 400, 201, 400, 400, 400, 400, 200]
+
+
+def test_waiting_pops(spark):
+    """A pop waits for a push or a rejection, in line with others, or till its time is over."""
+    rows = [(0, 0, "pop", 1, 9), (1, 0, "pop", 2, 9), (2, 1, "push", None, None), (3, 2, "nack", 1, None), (4, 30, "pop", 3, 5), (5, 40, "push", None, None), (6, 40, "pop", 4, 5), (7, 41, "pop", 5, 5)]
+    df = spark.createDataFrame([("q", s, now, cmd, 1, who, 10, 0, b"d", wait) for s, now, cmd, who, wait in rows], COMMANDS + ", wait_secs bigint")
+    out = {r.seq: (r.status, r.id, r.retries) for r in processor.fold_commands(df).collect()}
+    assert out[0] == (200, 1, 0) and out[1] == (200, 1, 1) and out[4] == (204, None, None) and out[6] == (200, 2, 0) and out[7][0] == 204 and len(out) == 8
+
+
+class Plain:
+    """A queue as a list that is searched from the start."""
+
+    def __init__(self):
+        self.tasks, self.count, self.clock = [], 0, 0
+
+    def apply(self, c):
+        self.clock += 1
+        held = next((t for t in self.tasks if t["id"] == c.id and t["by"] is not None), None)
+        if c.cmd == "push":
+            self.count += 1
+            self.tasks.append({"id": self.count, "p": c.priority, "at": self.clock, "n": 0, "by": None, "end": None})
+            return 201, self.count
+        if c.cmd == "pop":
+            free = sorted((t for t in self.tasks if t["by"] is None), key=lambda t: (-t["p"], t["at"]))
+            if free:
+                free[0].update(by=c.consumer_id, end=c.now_s + c.lease_secs)
+            return (200, free[0]["id"]) if free else (204, None)
+        if c.cmd == "tick":
+            for t in sorted((t for t in self.tasks if t["by"] is not None and c.now_s >= t["end"]), key=lambda t: t["id"]):
+                self.fail(t)
+            return 200, None
+        if held is None or held["by"] != c.consumer_id:
+            return (404 if held is None else 409), c.id
+        if c.cmd == "ack":
+            self.tasks.remove(held)
+        else:
+            self.fail(held)
+        return 200, c.id
+
+    def fail(self, t):
+        self.clock += 1
+        t.update(by=None, n=t["n"] + 1, at=self.clock)
+        if t["n"] == 3:
+            self.tasks.remove(t)
+
+
+def test_command_fold_whole_table(spark, monkeypatch):
+    """The query's commands over a whole table, against the list."""
+    kept, real = [], processor.fold_commands
+    monkeypatch.setattr(processor, "fold_commands", lambda c: kept.append(c) or real(c))
+    got = {(r.queue, r.seq): (r.status, r.id) for r in registry.command_fold(spark, "/root/testdata/sf0.01").collect()}
+    queues, want = {}, {}
+    for c in sorted(kept[0].collect(), key=lambda c: c.seq):
+        want[c.queue, c.seq] = queues.setdefault(c.queue, Plain()).apply(c)
+    assert got == want
+
+
 def test_queues_are_apart(spark):
     out = run(spark, [{"cmd": "push", "queue": q} for q in "ab" for _ in range(3)])
     assert [(r.queue, r.id) for r in out] == [(q, i) for q in "ab" for i in (1, 2, 3)]
