@@ -10,6 +10,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -21,7 +22,10 @@ from tallyline.llm.common import id_key, key_id, new_path, session, text_bytes
 
 UNIT, RATE = 64, 8000
 #: Level of the zstd compression of the stored columns: samples repeat, but with other bytes between, so a low one is weak.
-LEVEL = 12
+#: A page holds PAGE bytes, as a sample of PCM takes four times the room of a character and repeats lie as much farther apart.
+LEVEL, PAGE = 12, 8 << 20
+#: Bytes of text whose media are made at once.
+SLICE = 4 << 20
 #: WAV format tags; fixed by the file format.
 FORMATS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 #: Step change for each ADPCM code of three bits; fixed values of the codec.
@@ -163,27 +167,35 @@ def loudness(pcm: np.ndarray) -> str:
     return f"{square // len(pcm)}.{total // len(pcm)}.{peak}.{changes}"
 
 
+def _slices(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows whose texts begin within the same SLICE bytes."""
+    size = pdf["text"].map(len)
+    for _, rows in pdf.groupby((size.cumsum() - size) // SLICE):
+        yield rows.reset_index(drop=True)
+
+
 def store_media(docs: DataFrame, path: str | None = None, codec: str = "mulaw", rate: int = RATE, pcm_rate: int | None = None) -> str:
     """Writes doc_id, n_bytes, media (WAV) and, with pcm_rate, pcm (16-bit little-endian, resampled) as Parquet; returns the path.
 
     docs: doc_id, text; other columns are ignored. The payload is the text's UTF-8 bytes with zeros up to a positive
     multiple of 64; null is empty. One row for each row of docs: repeated rows are stored again, a null doc_id stays null, an
-    empty table gives an empty one. The texts of a batch of rows are held by one task, so the longest text bounds its memory.
+    empty table gives an empty one. Each task stores its rows in the order of their texts, so that like ones share a page, and
+    makes the media of SLICE bytes of text at once, so the longest text bounds its memory.
     """
     spark = session(docs)
     path = path or new_path(spark, "media")
     names = ["k", "n_bytes", "media"] + ["pcm"] * bool(pcm_rate)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for pdf in chain.from_iterable(map(_slices, frames)):
             loads = [padded(t) for t in pdf["text"]]
             out = pd.DataFrame({"k": pdf["k"], "n_bytes": [len(t) for t in pdf["text"]], "media": [wav(x, codec, rate) for x in loads]})
             if pcm_rate:
                 out["pcm"] = [resample(expand(x, codec), rate, pcm_rate).astype("<i2").tobytes() for x in loads]
             yield out
 
-    rows = docs.select(id_key().alias("k"), text_bytes().alias("text")).mapInPandas(work, "k bigint, n_bytes bigint, media binary" + ", pcm binary" * bool(pcm_rate))
-    rows.select(key_id().alias("doc_id"), *names[1:]).write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": str(LEVEL)}).parquet(path)
+    rows = docs.select(id_key().alias("k"), text_bytes().alias("text")).sortWithinPartitions("text").mapInPandas(work, "k bigint, n_bytes bigint, media binary" + ", pcm binary" * bool(pcm_rate))
+    rows.select(key_id().alias("doc_id"), *names[1:]).write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": str(LEVEL), "parquet.page.size": str(PAGE)}).parquet(path)
     return path
 
 
