@@ -23,7 +23,7 @@ from tallyline.llm.common import id_key, key_id, new_path, session, text_bytes
 UNIT, RATE = 64, 8000
 #: Level of the zstd compression of the stored columns: samples repeat, but with other bytes between, so a low one is weak.
 #: A page holds PAGE bytes, as a sample of PCM takes four times the room of a character and repeats lie as much farther apart.
-LEVEL, PAGE = 12, 8 << 20
+LEVEL, PAGE = 11, 8 << 20
 #: Bytes of text whose media are made at once.
 SLICE = 4 << 20
 #: WAV format tags; fixed by the file format.
