@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -18,21 +18,29 @@ from tallyline.llm.common import id_key, key_id, new_path, session, size_of, tex
 END = 0
 #: Bytes of text that one file takes on average, and of encoded ids that one stripe takes.
 FILE_BYTES, STRIPE_BYTES = 64 << 20, 16 << 20
-#: Segments that a generation of the memory holds, and characters that are looked up at once.
-REMEMBERED, CHUNK = 400_000, 1 << 20
+#: Segments that a generation of the memory holds, and bytes of text whose segments are told apart at once.
+REMEMBERED, CHUNK = 400_000, 4 << 20
 #: Rows that go to the writer at once.
 ROWS = 500
-#: Between a character that is no white space and ASCII white space no piece of a byte-level BPE reaches.
-SEGMENT = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
+#: Between a character that is no white space and ASCII white space no piece of a byte-level BPE reaches, nor from an ASCII
+#: letter to ASCII punctuation.
+SPACE = b" \n\r\t"
 #: Other white space, at which the rule above need not hold: such texts are encoded in one piece.
 OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
+#: Of each byte: 1 is white space by the rule above, 2 may begin other white space in UTF-8, 3 is a letter, 4 punctuation.
+KIND = np.zeros(256, dtype=np.uint8)
+KIND[list(SPACE)] = 1
+KIND[list(string.ascii_letters.encode())] = 3
+KIND[list(string.punctuation.encode())] = 4
+KIND[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = 2
 
 
 class SegmentEncoder:
     """Encodes whole texts with the tokenizers library, each distinct segment between certain boundaries once.
 
-    Segments are remembered in two generations: when the young one is full it takes the old one's place, and what is met
-    again comes back from there, so frequent segments stay.
+    The segments of a chunk of texts are cut and told apart as Arrow arrays; only its distinct ones are looked up. They are
+    remembered in two generations: when the young one is full it takes the old one's place, and what is met again comes back
+    from there, so frequent segments stay.
     """
 
     def __init__(self, path: str):
@@ -42,62 +50,90 @@ class SegmentEncoder:
         self.added = [x.content for x in self.t.get_added_tokens_decoder().values()]
         # a byte-level piece has one character for each byte
         self.width = np.array([len(self.t.id_to_token(i) or "") for i in range(self.t.get_vocab_size())], dtype=np.int64)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, segments: list[str]) -> dict[str, bytes]:
+    def _new(self, segments: list[bytes]) -> dict[bytes, bytes]:
         """Ids of segments not met before. Those that start with white space and end without it are encoded in rows, which the
         pieces' widths part again."""
-        in_row = [s for s in segments if s[0] in " \n\r\t" and s[-1] not in " \n\r\t"]
-        rest = set(segments).difference(in_row) if len(in_row) < len(segments) else ()
+        in_row, rest = [], []
+        for s in segments:
+            (in_row if s[0] in SPACE and s[-1] not in SPACE else rest).append(s)
         made = {}
         for at in range(0, len(in_row), 512):
             row = in_row[at : at + 512]
-            joined = "".join(row)
-            ids = np.array(self.t.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.t.encode_batch_fast([b"".join(row).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum(self.width[ids])
-            to = np.cumsum(list(map(len, row)) if joined.isascii() else [len(s.encode()) for s in row])
+            to = np.cumsum(list(map(len, row)))
             cut = np.searchsorted(ends, to)
             if cut[-1] != len(ids) - 1 or (ends[cut] != to).any():
-                made.update(zip(row, self.whole(row), strict=True))
+                rest += row
                 continue
             raw, cut = ids.tobytes(), ((cut + 1) * 4).tolist()
             made.update(zip(row, [raw[x:y] for x, y in zip([0, *cut[:-1]], cut, strict=True)], strict=True))
         if rest:
-            made.update(zip(rest, self.whole(list(rest)), strict=True))
+            made.update(zip(rest, self.whole([s.decode() for s in rest]), strict=True))
         return made
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
+    def _ids(self, segments: list[bytes]) -> list[bytes]:
+        """Ids of distinct segments."""
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        known = list(map(self.young.get, segments))
+        missing = [s for s, x in zip(segments, known, strict=True) if x is None]
+        if not missing:
+            return known
+        made = {s: x for s in missing if (x := self.old.get(s)) is not None}
+        made.update(self._new([s for s in missing if s not in made]))
+        self.young.update((s, x) for s, x in made.items() if len(s) <= 64)
+        return [made[s] if x is None else x for s, x in zip(segments, known, strict=True)]
+
+    def chunks(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The texts in their order, some at a time: ids of all of them, and where each text's ids start and end in these."""
+        at, raw = 0, [t.encode() for t in texts]
+        while at < len(raw):
             to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
-                size += len(texts[to])
+            while to < len(raw) and (to == at or size + len(raw[to]) <= CHUNK):
+                size += len(raw[to])
                 to += 1
-            out += self._chunk(texts[at:to])
+            yield self._chunk(texts[at:to], raw[at:to])
             at = to
-        return out
 
-    def _chunk(self, texts: list[str]) -> list[bytes]:
-        odd = [bool(OTHER_SPACE.search(t)) or any(a in t for a in self.added) for t in texts]
-        lists = [[] if o else SEGMENT.findall(t) for t, o in zip(texts, odd, strict=True)]
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        missing = set(chain.from_iterable(lists)).difference(self.young)
-        known = {s: x for s in missing if (x := self.old.get(s)) is not None}
-        known.update(self._new([s for s in missing if s not in known]))
-        self.young.update(known)
-        ids = self.young.__getitem__
-        out = [self.whole([t])[0] if o else b"".join(map(ids, x)) for t, o, x in zip(texts, odd, lists, strict=True)]
-        for s in known:
-            if len(s) > 64:
-                del self.young[s]
-        return out
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return [values[a:b].tobytes() for values, at in self.chunks(texts) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _chunk(self, texts: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        docs = np.append(0, np.cumsum(list(map(len, raw))))
+        kind = KIND[data]
+        maybe = set(np.searchsorted(docs, np.flatnonzero(kind == 2), "right").tolist())
+        odd = [i for i, t in enumerate(texts) if (i + 1 in maybe and OTHER_SPACE.search(t)) or any(a in t for a in self.added)]
+        space = kind == 1
+        starts = np.zeros(len(data) + 1, dtype=bool)
+        starts[1:-1] = (space[1:] & ~space[:-1]) | ((kind[1:] == 4) & (kind[:-1] == 3))
+        starts[docs] = True
+        starts = np.flatnonzero(starts).astype(np.int32)
+        segments = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        which = segments.indices.to_numpy()
+        _, ends, distinct = segments.dictionary.buffers()
+        ends, distinct = np.frombuffer(ends, np.int32)[: len(segments.dictionary) + 1].tolist(), distinct.to_pybytes()
+        known = self._ids([distinct[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+        size = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        first = np.cumsum(size, dtype=np.int32) - size
+        each = size[which]
+        upto = np.append(np.int32(0), np.cumsum(each, dtype=np.int32))
+        values = np.frombuffer(b"".join(known), "<u4")[np.repeat(first[which] - upto[:-1], each) + np.arange(upto[-1], dtype=np.int32)]
+        at = upto[np.searchsorted(starts, docs)]
+        if not odd:
+            return values, at
+        parts = np.split(values, at[1:-1])
+        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+            parts[i] = np.frombuffer(ids, "<u4")
+        return np.concatenate(parts), np.append(0, np.cumsum(list(map(len, parts)))).astype(np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -118,13 +154,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end:
     rows = docs.select(id_key().alias("k"), text_bytes().alias("text")).repartitionByRange(files, "k").sortWithinPartitions("k", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, tail = encoder(tokenizer), np.array([end], dtype="<u4").tobytes()
-        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-            ids = [x + tail for x in e.encode([t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()])]
-            sizes = np.array([len(x) // 4 for x in ids], dtype=np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "n_tokens", "ids"])
+        e = encoder(tokenizer)
+        for batch in (whole.slice(at, 8 * ROWS) for whole in batches for at in range(0, whole.num_rows, 8 * ROWS)):
+            row = 0
+            for ids, at in e.chunks([t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()]):
+                values = np.insert(ids, at[1:], np.uint32(end)).view(np.int32)
+                at = at + np.arange(len(at), dtype=np.int32)
+                for lo in range(0, len(at) - 1, ROWS):
+                    to = at[lo : lo + ROWS + 1]
+                    lists = pa.ListArray.from_arrays(pa.array(to - to[0]), pa.array(values[to[0] : to[-1]]))
+                    yield pa.RecordBatch.from_arrays([batch.column("k").slice(row, len(to) - 1), pa.array(np.diff(to), pa.int64()), lists], names=["doc_id", "n_tokens", "ids"])
+                    row += len(to) - 1
 
     out = rows.mapInArrow(work, "doc_id bigint, n_tokens bigint, ids array<int>")
     options = {"compression": "snappy", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(stripe_bytes)}
@@ -146,8 +186,8 @@ def token_offsets(spark: SparkSession, path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("ids")
-            at, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4", copy=False)
-            sums = [crc32(values[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<i4", copy=False)
+            sums = [crc32(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("k"), pa.array(np.diff(at), pa.int64()), pa.array(sums, pa.int64())], names=["file", "k", "n_tokens", "ids_crc32"])
 
     read = rows.mapInArrow(work, "file string, k bigint, n_tokens bigint, ids_crc32 bigint")

@@ -253,7 +253,7 @@ def test_token_orc_whole_table(spark):
 
 def test_segments_equal_whole_texts():
     e = token_orc.SegmentEncoder(BPE)
-    odd = ["", "  a  b \n\n c\t", "x<|endoftext|>y z", "a  b", "　 x", "don't  'll ,. ().", " ", "\n", "é ü\r\n ok", "a\x00b c", "it's. (so), 3.5"]
+    odd = ["", "  a  b \n\n c\t", "x<|endoftext|>y z", "a  b", "　 x", "don't  'll ,. ().", " ", "\n", "é ü\r\n ok", "a\x00b c", "it's. (so), 3.5", "a,b.c's,x'll!\n,,d 4e,e4. é,ü. z_y-x", "\x85 a  \x1c b,c"]
     texts = odd + [t or "" for _, t in corpus()]
     assert e.encode(texts) == e.whole(texts) == e.encode(texts)
 
