@@ -20,24 +20,26 @@ def _in_order(rows: DataFrame, queue: str, order: list[str]) -> DataFrame:
     return rows.repartition(queue).sortWithinPartitions(queue, *order)
 
 
-def capped_batches(arrivals: DataFrame, window_us: int, most: int, idle_us: int = 0, queue: str = "queue") -> DataFrame:
+def capped_batches(arrivals: DataFrame, window_us: int = 2000, most: int = 64, idle_us: int = 0, queue: str = "queue", force: str | None = None) -> DataFrame:
     """As a committer closes batches: when `most` wait, or the first has waited `window_us`, or, with idle_us above 0, after an
-    idle time. Sequential in each queue; a queue streams through its task with a constant state."""
+    idle time, or behind an arrival whose boolean column `force` is true (null is false). Sequential in each queue; a queue
+    streams through its task with a constant state."""
+    forced = F.coalesce(F.col(force), F.lit(False)) if force else F.lit(False)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name = batch = start = last = n = None
+        name = batch = start = last = n = closed = None
         for pdf in frames:
             out = []
-            for q, at in zip(pdf[queue], pdf["at"].tolist(), strict=True):
+            for q, at, flush in zip(pdf[queue], pdf["at"].tolist(), pdf["__force"].tolist(), strict=True):
                 if q != name:
                     name, batch, start, n = q, 0, at, 0
-                elif n >= most or at - start >= window_us or (idle_us and at - last >= idle_us):
+                elif closed or n >= most or at - start >= window_us or (idle_us and at - last >= idle_us):
                     batch, start, n = batch + 1, at, 0
-                n, last = n + 1, at
+                n, last, closed = n + 1, at, flush
                 out.append(batch)
             yield pd.DataFrame({queue: pdf[queue], "at": pdf["at"], "seq": pdf["seq"], "batch": out})
 
-    return _in_order(arrivals.select(queue, "at", "seq"), queue, ["at", "seq"]).mapInPandas(work, f"{queue} string, at bigint, seq bigint, batch bigint")
+    return _in_order(arrivals.select(queue, "at", "seq", forced.alias("__force")), queue, ["at", "seq"]).mapInPandas(work, f"{queue} string, at bigint, seq bigint, batch bigint")
 
 
 def rotate(frames: DataFrame, limit: int, queue: str = "queue") -> DataFrame:

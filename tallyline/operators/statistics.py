@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,18 @@ def integrity(pushed: DataFrame, live: DataFrame, ended: DataFrame, by: str) ->
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     out = counts[0].join(counts[1], by, "full").join(counts[2], by, "full").select(by, *[zero(c) for c in ("pushed", "live", "ended")])
     return out.withColumn("ok", F.col("pushed") == F.col("live") + F.col("ended"))
+
+
+def markdown(figures: DataFrame, order: list[str]) -> DataFrame:
+    """at, line: a Markdown table of figures, a few rows, in the order of these columns; nulls are empty cells."""
+    heads = [f"| {' | '.join(figures.columns)} |", f"|{'---|' * len(figures.columns)}"]
+    top = figures.sparkSession.createDataFrame(list(enumerate(heads)), "at bigint, line string")
+    cells = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in figures.columns]
+    at = F.row_number().over(Window.orderBy(*order)) + len(heads) - 1
+    return top.unionByName(figures.select(at.cast("bigint").alias("at"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")))
+
+
+def write_results(figures: DataFrame, order: list[str], path: str) -> None:
+    """One CSV file with a head in `path`/csv and a Markdown table in `path`/markdown."""
+    figures.orderBy(*order).coalesce(1).write.csv(f"{path}/csv", header=True)
+    markdown(figures, order).orderBy("at").coalesce(1).select("line").write.text(f"{path}/markdown")

@@ -318,6 +318,40 @@ def group_commit_capped(spark, d):
     return batching.capped_batches(_arrivals(spark, d), 600_000_000, 8)
 
 
+CLOSED = f"""r.n >= 8 OR a."at" - r.start >= 600000000 OR a."at" - r."at" >= {IDLE} OR r.seq % 11 = 0"""
+
+
+@query(f"""WITH RECURSIVE {ARRIVALS}, a AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY "at", seq) AS i FROM arrivals),
+r AS (SELECT queue, "at", seq, i, 0::BIGINT AS batch, "at" AS start, 1 AS n FROM a WHERE i = 1
+  UNION ALL SELECT a.queue, a."at", a.seq, a.i, CASE WHEN {CLOSED} THEN batch + 1 ELSE batch END, CASE WHEN {CLOSED} THEN a."at" ELSE r.start END, CASE WHEN {CLOSED} THEN 1 ELSE r.n + 1 END
+  FROM r JOIN a ON a.queue = r.queue AND a.i = r.i + 1) SELECT queue, "at", seq, batch FROM r""")
+def group_commit_forced(spark, d):
+    """All four ways to close a batch together: size, window, idle time, force."""
+    return batching.capped_batches(_arrivals(spark, d).withColumn("force", F.col("seq") % 11 == 0), 600_000_000, 8, IDLE, force="force")
+
+
+FIGURES = "SELECT event_type, count(*) AS runs, floor(min(value))::BIGINT AS least, floor(max(value))::BIGINT AS most, bool_and(value >= 0) AS all_ok FROM events GROUP BY 1"
+
+
+def _figures(spark, d):
+    v = F.col("value")
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("runs"), F.floor(F.min(v)).alias("least"), F.floor(F.max(v)).alias("most"), F.bool_and(v >= 0).alias("all_ok"))
+
+
+@query(f"""WITH f AS ({FIGURES}) SELECT 0::BIGINT AS "at", '| event_type | runs | least | most | all_ok |' AS line UNION ALL SELECT 1, '|---|---|---|---|---|'
+UNION ALL SELECT row_number() OVER (ORDER BY event_type) + 1, '| ' || concat_ws(' | ', event_type, runs, least, most, all_ok) || ' |' FROM f""")
+def bench_markdown(spark, d):
+    return statistics.markdown(_figures(spark, d), ["event_type"])
+
+
+@query(FIGURES)
+def bench_csv(spark, d):
+    """Figures as read back from the CSV file."""
+    path = scratch(spark, "results")
+    statistics.write_results(_figures(spark, d), ["event_type"], path)
+    return spark.read.schema("event_type string, runs bigint, least bigint, most bigint, all_ok boolean").csv(f"{path}/csv", header=True)
+
+
 @query("SELECT event_type, count(*) AS runs, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS stddev, min(value) AS least, max(value) AS most, CASE WHEN max(epoch_us(ts)) > min(epoch_us(ts)) THEN round(count(*) * 1000000::DOUBLE / (max(epoch_us(ts)) - min(epoch_us(ts))), 6) END AS throughput, bool_and(value >= 0) AS all_ok FROM events GROUP BY 1")
 def bench_stats(spark, d):
     e = table(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
