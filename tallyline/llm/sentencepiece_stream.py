@@ -3,13 +3,16 @@
 The best segmentation maximises the sum of the pieces' scores. Positions arrive one by one; only the last `longest piece`
 of them can still start a piece, so only their scores and backpointers are kept. Whenever the backpointer paths of all of
 them meet in one boundary, every id before it is settled and leaves. Every text goes through this decoder. The pieces of
-public vocabularies do not reach over the start of a word, so all paths are sure to meet at each word's start and at each
-line end: the stretch between two such boundaries is streamed when it is first met, and its settled ids are remembered.
+public vocabularies do not reach over the start of a word or from a word to the punctuation behind it, so all paths are sure
+to meet there and at each line end: the stretch between two such boundaries is streamed when it is first met, and its
+settled ids are remembered.
 """
 
 from __future__ import annotations
 
 import re
+import string
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -41,12 +44,19 @@ class Vocabulary:
         self.ids = {self.pieces[i]: (i, model.get_score(i)) for i in own}
         self.longest = max(map(len, self.ids), default=1)
         self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        # of each prefix the piece's id and score, or nothing where it is no piece itself
+        self.steps = {p: self.ids.get(p, ()) for p in self.prefixes}
         self.unknown = min((s for _, s in self.ids.values()), default=0.0) - 10
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         self.crosses = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         alone = "".join(c for c in "\n\t\r" if c not in inner)
-        # segments between boundaries that no piece crosses: spaces and a word, a control character, or spaces at an end
-        self.segment = re.compile(rf" *[^ {alone}]+|[{alone}]| +" if alone else " *[^ ]+| +")
+        # segments between boundaries that no piece crosses: spaces and a word, the punctuation behind a letter or digit with what
+        # follows it, a control character, or spaces at an end
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        marks = re.escape("".join(sorted(set(string.punctuation) - {y for x, y in pairs if x.isalnum()})))
+        sign, other = rf"(?:(?![ {alone}])[\W_])", rf"(?:(?![ {alone}{marks}])[\W_])"
+        word = rf" *+(?=[^ {alone}]){sign}*+(?:[^\W_]++(?:{other}{sign}*+)?+)*+"
+        self.segment = re.compile("|".join([word, *([f"[{alone}]"] if alone else []), " +"]))
         self.hole = next(c for c in map(chr, range(0xFFFF, 0, -1)) if c not in self.prefixes and not 0xD800 <= ord(c) < 0xE000)
         self.unk = model.unk_id()
         self.bytes = [b""] * size
@@ -91,7 +101,7 @@ class StreamingViterbi:
 
     def _extend(self, stop: int) -> list[int]:
         v, out = self.v, []
-        ids, prefixes, longest, unknown = v.ids, v.prefixes, v.longest, v.unknown
+        ids, step, longest, unknown = v.ids, v.steps.get, v.longest, v.unknown
         s = self.text.replace(SPACE, v.hole).replace(" ", SPACE)  # a literal U+2581 is no space
         n, best, back, a, reach = len(s), self.best, self.back, self.at, self.reach
         best += [float("-inf")] * (n + 1 - len(best))
@@ -105,10 +115,9 @@ class StreamingViterbi:
                     settled = to
             base = best[a]
             for e in range(a + 1, min(n, a + longest) + 1):
-                part = s[a:e]
-                if part not in prefixes:
+                found = step(s[a:e])
+                if found is None:
                     break
-                found = ids.get(part)
                 if found and base + found[1] > best[e]:
                     best[e], back[e] = base + found[1], (a, found[0])
                     if e > reach:
@@ -160,6 +169,7 @@ class Codec:
     def __init__(self, path: str):
         self.v = vocabulary(path)
         self.known: dict[str, bytes] = {}
+        self.stream = StreamingViterbi(self.v)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; a text that is not empty starts with the usual extra space."""
@@ -171,16 +181,16 @@ class Codec:
         segments = self.v.segment.findall(" " + text)
         got = list(map(self.known.get, segments))
         if None in got:
-            for i, (x, segment) in enumerate(zip(got, segments, strict=True)):
+            for i in [i for i, x in enumerate(got) if x is None]:
+                x = self.known.get(segments[i])
                 if x is None:
-                    x = self.known.get(segment)
-                    if x is None:
-                        if len(self.known) >= REMEMBERED:
-                            self.known.clear()
-                        x = np.array(encode_segment(self.v, segment), dtype="<u4").tobytes()
-                        if len(segment) <= 64:
-                            self.known[segment] = x
-                    got[i] = x
+                    if len(self.known) >= REMEMBERED:
+                        self.known.clear()
+                    ids = self.stream.feed(segments[i]) + self.stream.finish()
+                    x = struct.pack(f"<{len(ids)}I", *ids)
+                    if len(segments[i]) <= 64:
+                        self.known[segments[i]] = x
+                got[i] = x
         return b"".join(got)
 
     def decode(self, ids: bytes) -> bytes:

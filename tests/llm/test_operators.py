@@ -214,6 +214,15 @@ def test_sentencepiece_documents(spark):
     assert sentencepiece_stream.encoded_digest(frame(spark, []), PIECES).count() == 0
 
 
+def test_piece_boundaries():
+    """The stretches that are encoded apart make up the text, and no piece of the whole text's stream reaches over their ends."""
+    codec, rng = sentencepiece_stream.Codec(PIECES), random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice("ab é.,'’\n\t!?▁_1-日。\"x́ ") for _ in range(rng.randrange(1, 30)))
+        assert "".join(codec.v.segment.findall(" " + text)) == " " + text
+        assert codec.encode(text) == np.array(sentencepiece_stream.encode_segment(codec.v, " " + text), dtype="<u4").tobytes()
+
+
 # ---- 3 ----
 
 
