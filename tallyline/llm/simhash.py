@@ -23,6 +23,11 @@ from tallyline.llm.components import components
 SHINGLE, RADIUS = 4, 4
 #: Buckets with more fingerprints than this are not compared within one task but linked by midpoints.
 BUCKET = 4096
+#: Buckets of at most so many fingerprints are compared side by side with the others of their kind.
+FEW = 8
+#: Bytes of fingerprints that a part of a table takes on average, fingerprints that a task packs at once, and fingerprints of
+#: one part that a task holds before it sets crowded buckets aside.
+PART_BYTES, PACKED, HELD = 8 << 20, 1 << 17, 1 << 22
 #: Bytes that one task takes of the midpoints.
 MIDPOINT_BYTES = 32 << 20
 
@@ -86,14 +91,45 @@ def spanning_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _bucket_links(radius: int):
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            found = {link for fps in pdf["fps"] for link in spanning_links(np.sort(np.array(fps, dtype=np.int64).view(np.uint64)), radius)}
-            pairs = np.array(sorted(found), dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return work
+def table_links(fps: np.ndarray, mask: int, radius: int, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct fingerprints with all members of the buckets they fall into in one table: links a and b that connect what
+    the pairs of each bucket connect, and the members of buckets of more than `bucket`, which are left out of the links."""
+    keys = fps & np.uint64(mask)
+    order = np.lexsort((fps, keys))
+    fps, keys = fps[order], keys[order]
+    begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(fps)])
+    sizes = np.diff(np.append(begins, len(fps)))
+    size = np.repeat(sizes, sizes)
+    out = [np.empty((0, 2), dtype=np.uint64)]
+    few = np.flatnonzero(size <= min(FEW, bucket))
+    for d in range(1, FEW):
+        x = few[few + d < len(fps)]
+        x = x[(keys[x] == keys[x + d]) & (np.bitwise_count(fps[x] ^ fps[x + d]) <= radius)]
+        out.append(np.stack([fps[x], fps[x + d]], axis=1))
+    for at, n in zip(begins.tolist(), sizes.tolist(), strict=True) if (sizes > FEW).any() else ():
+        if FEW < n <= bucket:
+            out.append(np.array(spanning_links(fps[at : at + n], radius), dtype=np.uint64).reshape(-1, 2))
+    links = np.concatenate(out)
+    return links[:, 0], links[:, 1], fps[size > bucket]
+
+
+def crowded(fps: np.ndarray, mask: int, bucket: int) -> np.ndarray:
+    """Which fingerprints fall into buckets of more than `bucket` of them."""
+    _, which, n = np.unique(fps & np.uint64(mask), return_inverse=True, return_counts=True)
+    return n[which] > bucket
+
+
+def _gathered(frames: Iterator[pd.DataFrame], column: str = "fp") -> Iterator[np.ndarray]:
+    """A column of fingerprints, PACKED of them at a time."""
+    held, size = [], 0
+    for pdf in frames:
+        held.append(pdf[column].to_numpy(dtype=np.int64).view(np.uint64))
+        size += len(pdf)
+        if size >= PACKED:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held)
 
 
 def flips(radius: int) -> np.ndarray:
@@ -156,15 +192,63 @@ def midpoint_links(hot: DataFrame, radius: int, task_bytes: int = MIDPOINT_BYTES
     return hot.select("fp").mapInPandas(send, "part bigint, body binary").groupBy("part").applyInPandas(meet, "a bigint, b bigint")
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """fps: distinct fp. Returns links a, b with the components of all pairs within the radius."""
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, part_bytes: int = PART_BYTES, held: int = HELD) -> DataFrame:
+    """fps: distinct fp. Returns links a, b with the components of all pairs within the radius.
+
+    Every table is dealt into parts by a hash of its keys. A task packs the fingerprints it sends to a part, eight bytes each;
+    no key travels and nothing is joined or broadcast. Whoever gets a part sets its crowded buckets aside as soon as it
+    holds more than `held` fingerprints, so that a bucket of any size needs no more memory than that.
+    """
+    session(fps)
     masks = covering_masks(radius)
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("t", "key"))
-    crowd = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keyed.join(crowd, ["t", "key"])
-    lists = members.where(F.col("n") <= bucket).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
-    links = lists.select("fps").mapInPandas(_bucket_links(radius), "a bigint, b bigint")
-    hot = written(members.where(F.col("n") > bucket).select("fp").distinct(), "hot")
+    parts = max(1, -(-fps.count() * 8 // part_bytes))  # of each table
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own in _gathered(frames):
+            for t, mask in enumerate(masks):
+                part = (mix(own & np.uint64(mask)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                some = np.flatnonzero(np.diff(cuts))
+                yield pd.DataFrame({"part": t * parts + some, "body": [own[order[cuts[p] : cuts[p + 1]]].tobytes() for p in some.tolist()]})
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links; a fingerprint of a crowded bucket is linked with itself."""
+        now, mine, size, most, full = -1, [], 0, held, np.empty(0, dtype=np.uint64)
+
+        def rows(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+        def end() -> Iterator[pd.DataFrame]:
+            if mine:
+                a, b, hot = table_links(np.concatenate(mine), masks[now // parts], radius, bucket)
+                yield rows(np.concatenate([a, hot]), np.concatenate([b, hot]))
+
+        for pdf in frames:
+            for part, body in zip(pdf["part"].tolist(), pdf["body"], strict=True):
+                if part != now:
+                    yield from end()
+                    now, mine, size, most, full = part, [], 0, held, np.empty(0, dtype=np.uint64)
+                new = np.frombuffer(body, np.uint64)
+                if len(full):  # keys known as crowded
+                    hot = np.isin(new & np.uint64(masks[now // parts]), full)
+                    yield rows(new[hot], new[hot])
+                    new = new[~hot]
+                mine.append(new)
+                size += len(new)
+                if size > most:
+                    every = np.concatenate(mine)
+                    hot = crowded(every, masks[now // parts], bucket)
+                    yield rows(every[hot], every[hot])
+                    full = np.union1d(full, every[hot] & np.uint64(masks[now // parts]))
+                    mine, size = [every[~hot]], int(np.count_nonzero(~hot))
+                    most = max(held, 2 * size)
+        yield from end()
+
+    dealt = fps.select("fp").mapInPandas(send, "part bigint, body binary").repartition("part").sortWithinPartitions("part")
+    found = written(dealt.mapInPandas(meet, "a bigint, b bigint"), "links")
+    links = found.where("a <> b")
+    hot = written(found.where("a = b").select(F.col("a").alias("fp")).distinct(), "hot")
     if not hot.isEmpty():
         links = links.union(midpoint_links(hot, radius))
     return links

@@ -572,6 +572,40 @@ def test_links(spark, bucket, radius):
     assert [g for g in groups(roots) if g] == [g for g in groups(want) if g] or {frozenset(g) for g in groups(roots) if g} == {frozenset(g) for g in groups(want) if g}
 
 
+@pytest.mark.parametrize("bucket,part_bytes,held", [(4096, 64, 1 << 22), (3, 8 << 20, 5), (3, 200, 2), (12, 1000, 1)])
+def test_links_in_parts(spark, bucket, part_bytes, held):
+    """Many small parts, and crowded buckets that are set aside before a part has ended."""
+    rng, fps = random.Random(14), set()
+    for n in (1, 2, 3, 7, 9, 30, 60):
+        x = rng.getrandbits(64)
+        for _ in range(n):
+            fps.add(x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))))
+    fps = sorted(fps)
+    want = union([(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4], fps)
+    df = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp bigint").repartition(3)
+    links = simhash.fingerprint_links(df, 4, bucket, part_bytes, held).collect()
+    assert all(((r.a ^ r.b) % 2**64).bit_count() <= 4 for r in links)
+    assert union([(r.a % 2**64, r.b % 2**64) for r in links], fps) == want
+
+
+def test_links_are_not_broadcast(spark, monkeypatch):
+    """Spark takes a table of fingerprints for as small as its file, and so what it is exploded into: no join may build on that."""
+    fps = simhash.written(spark.range(20_000).select(F.xxhash64("id").alias("fp")), "fps")
+    plans, keep = [], simhash.written
+
+    def recorded(df, *args, **more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, *args, **more)
+
+    monkeypatch.setattr(simhash, "written", recorded)
+    links = simhash.fingerprint_links(fps)
+    plans.append(links._jdf.queryExecution().executedPlan().toString())
+    assert plans and not any("Broadcast" in p for p in plans)
+    # in 31 tables, 8 bytes for each fingerprint and what a message costs
+    sent = [p for p in plans if "Exchange hashpartitioning(part" in p]
+    assert sent and not any("Generate" in p for p in plans)
+
+
 def test_near_duplicates(spark):
     rows = corpus()
     want_fp = {d: plain_fingerprint(t) for d, t in rows}
