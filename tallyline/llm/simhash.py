@@ -327,7 +327,7 @@ def batch_shingles(lists: list[list[bytes]], shingle: int) -> tuple[np.ndarray,
 
 
 def _described(docs: DataFrame, shingle: int) -> DataFrame:
-    """k, th (a hash of the text) and node for each document, and rows of slices of this task's shingle counts."""
+    """k, th (a hash of the text), node and fp (the fingerprint) for each document, and rows of slices of this task's shingle counts."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
@@ -336,12 +336,24 @@ def _described(docs: DataFrame, shingle: int) -> DataFrame:
                 lists = [t.lower().split() for t in part["text"]]
                 nodes = np.array([_node(w) for w in lists], dtype=np.uint64).view(np.int64)
                 counts += np.bincount((shingles(lists, shingle)[1] >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
-                yield pd.DataFrame({"k": part["k"], "th": part["th"], "node": nodes, "slice": -1, "body": None})
+                fps = fingerprint_batch(list(part["text"])).view(np.int64)
+                yield pd.DataFrame({"k": part["k"], "th": part["th"], "node": nodes, "fp": fps, "slice": -1, "body": None})
         for i, body in count_slices(counts):
-            yield pd.DataFrame({"k": [0], "th": [0], "node": [0], "slice": [i], "body": [body]})
+            yield pd.DataFrame({"k": [0], "th": [0], "node": [0], "fp": [0], "slice": [i], "body": [body]})
 
     rows = docs.select(id_key().alias("k"), F.xxhash64(text_bytes()).alias("th"), text_bytes().alias("text"))
-    return rows.mapInPandas(work, "k bigint, th bigint, node bigint, slice int, body binary")
+    return rows.mapInPandas(work, "k bigint, th bigint, node bigint, fp bigint, slice int, body binary")
+
+
+def _by_fingerprint(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """nodes: node, fp. Candidates by SimHash: the covering tables' links between fingerprints, each between the smallest nodes
+    of either, and every other node of a fingerprint with its smallest."""
+    least = written(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("__n")), "prints")
+    left, right = (least.select(F.col("fp").alias(c), F.col("least").alias(f"l{c}")) for c in "ab")
+    links = written(fingerprint_links(least.select("fp"), radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    across = links.join(left, "a").join(right, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+    within = spread_join(nodes, least, ["fp"], F.col("node")).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return across.union(within)
 
 
 def prefix(doc: np.ndarray, hashes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -511,7 +523,7 @@ def _groups(docs: DataFrame, shingle: int, similarity: float, block: int, reach:
     """k, th and node of each document; and for each node its group's smallest node, root, if it is not its own."""
     described = written(_described(docs, shingle), "described")
     marked = described.where("slice < 0").select("k", "th", "node")
-    first = written(marked.groupBy("node").agg(F.min("k").alias("k")), "firsts")
+    first = written(described.where("slice < 0").groupBy("node").agg(F.min("k").alias("k"), F.min("fp").alias("fp")), "firsts")
     tokens = written(_prefixes(docs, sum_slices(described.where("slice >= 0"), COUNT_BITS), shingle, similarity), "prefixes")
     alive = written(_in_company(tokens).withColumn("root", F.col("node")), "members")
     widest = alive.agg(F.max("size")).first()[0] or 0
@@ -530,7 +542,9 @@ def _groups(docs: DataFrame, shingle: int, similarity: float, block: int, reach:
         alive = written(every.join(counted(written(mixed, "mixed")), "key", "left_semi").select(*alive.columns), "members")
         return True
 
-    # the first round links next neighbours, so that later ones find most groups joined
+    # SimHash links what lies within its radius; the rest of the similar pairs share a shingle of their prefixes, where the
+    # first round links next neighbours, so that later ones find most groups joined
+    joined(_by_fingerprint(first.select("node", "fp")))
     turn, low, high = 0, 1, 2
     while low < min(widest, block) and not alive.isEmpty():
         joined(_neighbours(alive, turn, low, high, block, similarity))
@@ -543,7 +557,9 @@ def _groups(docs: DataFrame, shingle: int, similarity: float, block: int, reach:
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = BLOCK, reach: int = REACH) -> DataFrame:
     """Groups documents linked by a Jaccard similarity of at least `similarity` of their sets of `shingle`-word shingles.
 
-    Candidates come from a prefix filter: with the shingles of each set in one order, rarest in the corpus first, two sets of
+    The first candidates are those of SimHash (see near_duplicates): texts whose fingerprints of four-word shingles differ in at
+    most RADIUS bits, found by the covering tables. Similar texts may lie farther apart than that, so more candidates
+    come from a prefix filter: with the shingles of each set in one order, rarest in the corpus first, two sets of
     that similarity share a shingle of their prefixes, with certainty; every candidate is checked exactly. Texts of one
     word sequence are one node from the start. Rounds compare those that share a shingle with ever further
     neighbours, but never two of one group, so that a large group of copies takes a number of checks linear in its size.

@@ -708,6 +708,22 @@ def test_first_of_similar(spark):
     assert simhash.first_of_similar(frame(spark, [])).count() == 0
 
 
+def test_first_of_similar_by_fingerprint(spark, monkeypatch):
+    """SimHash alone, without the shingles' lists, links what its radius reaches, and nothing that is not similar."""
+    rows = grown_rows() + [(d + 1000, t) for d, t in similar_rows() if t and t.split()]
+    rows += [(2000 + d, f"{t} end") for d, t in rows[:120:2]]
+    prints = {d: plain_fingerprint(t) for d, t in rows}
+    text = dict(rows)
+    near = [(a, b) for a, _ in rows for b, _ in rows if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
+    similar = [p for p in near if plain_similarity(text[p[0]], text[p[1]]) >= 0.8]
+    want = {d for d, top in union(similar, list(text)).items() if top == d}
+    assert sum(text[a].lower().split() != text[b].lower().split() for a, b in similar) >= 20
+    monkeypatch.setattr(simhash, "_in_company", lambda tokens: tokens.withColumn("size", F.lit(0)).limit(0))
+    kept = {r.doc_id for r in simhash.first_of_similar(frame(spark, rows)).collect()}
+    # a group may fall apart where a link of its tree is near but not similar; the shingles' lists see to that
+    assert want <= kept and len(kept - want) <= 0.05 * (len(rows) - len(want))
+
+
 def test_simhash_whole_table(spark):
     """Every document of a whole table, against all pairs of fingerprints."""
     docs = spark.read.parquet(WHOLE)
