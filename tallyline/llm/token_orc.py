@@ -10,6 +10,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ END = 0
 #: Bytes of text that one file takes on average, and of encoded ids that one stripe takes.
 FILE_BYTES, STRIPE_BYTES = 64 << 20, 16 << 20
 #: Segments that a generation of the memory holds, and bytes of text whose segments are told apart at once.
-REMEMBERED, CHUNK = 400_000, 4 << 20
+REMEMBERED, CHUNK = 400_000, 1 << 20
 #: Rows that go to the writer at once.
 ROWS = 500
 #: Between a character that is no white space and ASCII white space no piece of a byte-level BPE reaches, nor from an ASCII
@@ -141,6 +142,15 @@ def encoder(path: str) -> SegmentEncoder:
     return SegmentEncoder(path)
 
 
+def sliced(batch: pa.RecordBatch, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most so many bytes of text, or one row: only a part's texts become Python objects at once."""
+    ends, at = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end: int = END, file_bytes: int = FILE_BYTES, stripe_bytes: int = STRIPE_BYTES) -> str:
     """Encodes whole texts, appends the id `end` to each, and writes them in ascending doc_id order. Returns the path.
 
@@ -155,7 +165,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
-        for batch in (whole.slice(at, 8 * ROWS) for whole in batches for at in range(0, whole.num_rows, 8 * ROWS)):
+        for batch in (part for whole in batches for part in sliced(whole)):
             row = 0
             for ids, at in e.chunks([t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()]):
                 values = np.insert(ids, at[1:], np.uint32(end)).view(np.int32)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -708,6 +710,25 @@ def test_first_of_similar(spark):
     assert simhash.first_of_similar(frame(spark, [])).count() == 0
 
 
+def test_tokens_memory():
+    """Texts become Python objects a chunk at a time, whatever the rows of a batch hold; the chunks' arrays stay small."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(2000)).encode() for _ in range(1000)] + [b""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], names=["k", "text"])
+    parts = list(token_orc.sliced(batch.slice(3), 100_000))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts[3:]
+    assert all(p.num_rows == 1 or sum(map(len, p.column("text").to_pylist())) <= 100_000 for p in parts)
+    e = token_orc.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    list(e.chunks([t.decode() for t in texts[:300]]))  # segments are remembered
+    tracemalloc.start()
+    for part in token_orc.sliced(batch):
+        for _ in e.chunks([t.decode() for t in part.column("text").to_pylist()]):
+            pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20, peak
+
+
 def test_first_of_similar_by_fingerprint(spark, monkeypatch):
     """SimHash alone, without the shingles' lists, links what its radius reaches, and nothing that is not similar."""
     rows = grown_rows() + [(d + 1000, t) for d, t in similar_rows() if t and t.split()]
