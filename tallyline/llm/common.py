@@ -22,6 +22,8 @@ NULL_ID = -(2**63)
 #: A key is hot if it holds over one in HOT_SHARE of the rows (and over HOT_LEAST), so at most HOT_SHARE keys are; the rows
 #: of a hot key are spread over SPREAD tasks.
 HOT_SHARE, HOT_LEAST, SPREAD = 2000, 1000, 32
+#: A table that is brought to the driver partition by partition has at most so many, each of which is a job there.
+FETCHES = 48
 #: Rows of a table that is broadcast after they were counted.
 SMALL = 2_000_000
 
@@ -97,10 +99,27 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def eased(spark: SparkSession) -> None:
+    """Collects garbage on the driver if its heap has grown past half of what it may take, and by a tenth since it was smallest.
+
+    Plans and the news of tasks are short-lived there; a JVM that is left alone grows its heap to the limit before it gives any back.
+    """
+    sc = spark.sparkContext
+    runtime = sc._jvm.java.lang.Runtime.getRuntime()
+    now = runtime.totalMemory()
+    least = min(now, getattr(sc, "_tallyline_heap", now // 2))
+    if now > runtime.maxMemory() // 2 and now > 1.1 * least:
+        gc.collect()  # frames that Python still holds keep their plans alive
+        sc._jvm.System.gc()
+        least = runtime.totalMemory()
+    sc._tallyline_heap = least
+
+
 def written(df: DataFrame, label: str, path: str | None = None, outer: bool = False) -> DataFrame:
     """Cuts the lineage: writes the frame as Parquet to the shared folder and reads it back."""
     path = path or new_path(df.sparkSession, label, outer)
     df.write.option("compression", "zstd").parquet(path)
+    eased(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -192,7 +211,7 @@ def sum_slices(rows: DataFrame, bits: int) -> np.ndarray:
 
     out = np.zeros(1 << bits, dtype=np.uint32)
     summed = rows.select("slice", "body").repartition("slice").sortWithinPartitions("slice").mapInPandas(work, "slice int, body binary")
-    for r in summed.toLocalIterator():
+    for r in summed.coalesce(FETCHES).toLocalIterator():
         out[r.slice << SLICE_BITS : (r.slice + 1) << SLICE_BITS] = np.minimum(np.frombuffer(r.body, "<i8"), 2**32 - 1)
     return out
 

@@ -18,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import NULL_ID, counted, id_key, key_id, session, text_bytes, text_slices, written
+from tallyline.llm.common import FETCHES, NULL_ID, counted, id_key, key_id, session, text_bytes, text_slices, written
 
 #: Labelled documents that the models are fitted on at most, and pseudo-labels that a view hands on in a round.
 LABELLED, PSEUDO = 16_000, 400
 ROUNDS, SURE = 2, 0.95
+#: Features of labelled documents that a fit works on at once.
+AT_ONCE = 1 << 16
 WORDS = 1 << 18
 #: Of numeric metadata, the number of classes each is cut into.
 CUTS = 12
@@ -51,30 +53,50 @@ class Logistic:
     def __init__(self, size: int):
         self.size, self.w, self.b = size, np.zeros(size), 0.0
 
-    def fit(self, lists: list[np.ndarray], y: np.ndarray, steps: int = 120, decay: float = 0.02) -> Logistic:
-        lengths = np.array([len(x) for x in lists])
-        flat = np.concatenate([np.empty(0, np.int64), *lists]).astype(np.int64)
-        rows = np.repeat(np.arange(len(lists)), lengths)
-        seen = np.bincount(flat, minlength=self.size)
-        keep = seen[flat] > 1
-        flat, rows = flat[keep], rows[keep]
-        pos = np.bincount(flat, weights=y[rows], minlength=self.size)
+    def fit(self, lists: list[np.ndarray], y: np.ndarray, steps: int = 120, decay: float = 0.02, most: int = AT_ONCE) -> Logistic:
+        """The features stay in four bytes each; what is worked out for each of them goes by pieces of about `most`."""
+        seen = np.zeros(self.size, dtype=np.int64)
+        for x in lists:
+            np.add.at(seen, x, 1)
+        lists = [x[seen[x] > 1].astype(np.int32) for x in lists]
+        lengths = np.array([len(x) for x in lists], dtype=np.int64)
+        flat = np.concatenate([np.empty(0, np.int32), *lists])
+        del lists
+        ends = np.cumsum(lengths)
+        # whole rows, in order, so that the sums are those of one piece
+        cuts = np.append(np.flatnonzero(np.diff(ends // most, prepend=0)), len(ends))
+        cuts = list(zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
+        pieces = [(a, b, int(ends[a - 1]) if a else 0, int(ends[b - 1])) for a, b in cuts if a < b]
+        pos = np.zeros(self.size)
+        for a, b, lo, hi in pieces:
+            np.add.at(pos, flat[lo:hi], np.repeat(y[a:b], lengths[a:b]))
         n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
         odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((seen - pos + 0.5) / (n0 + 1))
         odds[seen < 2] = 0
-        value = odds[flat]
-        used, local = np.unique(flat, return_inverse=True)
+        used = np.flatnonzero(seen > 1)
+        place = np.zeros(self.size, dtype=np.int32)
+        place[used] = np.arange(len(used))
+        for _, _, lo, hi in pieces:
+            flat[lo:hi] = place[flat[lo:hi]]
+        own = odds[used]
         w, m, v, b, mb, vb = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used)), np.log(n1 / n0), 0.0, 0.0
         weight = np.where(y > 0, 0.5 / n1, 0.5 / n0) * len(y)
+        z = np.zeros(len(y))
         for t in range(1, steps + 1):
-            z = np.bincount(rows, weights=w[local] * value, minlength=len(lists)) + b
-            r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / len(y)
-            g = np.bincount(local, weights=r[rows] * value, minlength=len(used)) + decay * w / len(used) ** 0.5
+            worth = w * own
+            for a, to, lo, hi in pieces:
+                z[a:to] = np.bincount(np.repeat(np.arange(to - a), lengths[a:to]), weights=worth[flat[lo:hi]], minlength=to - a)
+            r = (1 / (1 + np.exp(-np.clip(z + b, -30, 30))) - y) * weight / len(y)
+            g = np.zeros(len(used))
+            for a, to, lo, hi in pieces:
+                some = flat[lo:hi]
+                np.add.at(g, some, np.repeat(r[a:to], lengths[a:to]) * own[some])
+            g += decay * w / len(used) ** 0.5
             gb = r.sum()
             m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
             w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
             b -= 0.1 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-        self.w[used] = w * odds[used]
+        self.w[used] = w * own
         self.b = b
         return self
 
@@ -240,7 +262,7 @@ def _rows(features: DataFrame, ids: list[int]) -> list[tuple]:
         return []
     some = features.sparkSession.createDataFrame([(i,) for i in ids], "k bigint")
     least = features.join(F.broadcast(some), "k").groupBy("k").agg(F.min(F.struct("words", "source", "lang", "numbers")).alias("x"))
-    return [(r.k, np.frombuffer(r.words, np.int32), r.source, r.lang, r.numbers) for r in least.select("k", "x.*").toLocalIterator()]
+    return [(r.k, np.frombuffer(r.words, np.int32), r.source, r.lang, r.numbers) for r in least.select("k", "x.*").coalesce(FETCHES).toLocalIterator()]
 
 
 FEATURES = "k bigint, words binary, source int, lang int, numbers array<double>"

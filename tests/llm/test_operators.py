@@ -388,6 +388,70 @@ def test_cotraining_held_out(spark):
     assert right >= 0.95 * len(unseen)
 
 
+def test_logistic_pieces():
+    """The same weights by pieces of any length, in little more memory than the features take."""
+    rng = np.random.default_rng(3)
+    lists = [np.unique((rng.pareto(0.7, rng.integers(0, 300)) * 50).astype(np.int64) % 5000).astype(np.int32) for _ in range(4000)]
+    y = (rng.random(len(lists)) < 0.3).astype(float)
+    one, many = (cotraining.Logistic(5000).fit(lists, y, steps=5, most=n) for n in (1 << 40, 700))
+    assert one.w.any() and (one.w == many.w).all() and one.b == many.b
+    assert not cotraining.Logistic(9).fit([], np.empty(0)).w.any()
+    tracemalloc.start()
+    cotraining.Logistic(5000).fit(lists, y, steps=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 25 * sum(map(len, lists))
+
+
+def test_driver_fetches(spark):
+    """Rows come to the driver in few jobs, however many partitions hold them."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    sc = spark.sparkContext
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "150")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        features = spark.createDataFrame([(i, b"", 1, 2, [0.5]) for i in range(300)], cotraining.FEATURES)
+        sc.setJobGroup("fetches", "")
+        got = cotraining._rows(features, list(range(0, 300, 2)))
+        assert sorted(r[0] for r in got) == list(range(0, 300, 2))
+        slices = spark.createDataFrame([(i % 100, np.full(1 << common.SLICE_BITS, i, "<i8").tobytes()) for i in range(150)], "slice int, body binary")
+        counts = common.sum_slices(slices, 21).reshape(-1, 1 << common.SLICE_BITS)
+        assert (counts[:, 0] == [sum(i for i in range(150) if i % 100 == s) for s in range(128)]).all() and (counts == counts[:, :1]).all()
+        assert 0 < len(sc.statusTracker().getJobIdsForGroup("fetches")) <= 2 * common.FETCHES + 20
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_driver_eased():
+    """Garbage is collected once the heap is over half its limit, and again when it has grown."""
+
+    class Heap:
+        total, calls = 300, 0
+        totalMemory, maxMemory = (lambda self: self.total), (lambda self: 1000)  # noqa: N815
+
+        def gc(self):
+            self.calls, self.total = self.calls + 1, self.after
+
+    class Fake:
+        pass
+
+    heap, fake = Heap(), Fake()
+    fake.sparkContext = Fake()
+    fake.sparkContext._jvm = Fake()
+    jvm = fake.sparkContext._jvm
+    jvm.System, jvm.java = heap, Fake()
+    jvm.java.lang = Fake()
+    jvm.java.lang.Runtime = Fake()
+    jvm.java.lang.Runtime.getRuntime = lambda: heap
+    seen = []
+    for heap.total, heap.after in ((300, 300), (600, 400), (430, 0), (550, 520), (560, 0), (600, 480), (1000, 480)):
+        common.eased(fake)
+        seen.append(heap.calls)
+    assert seen == [0, 1, 1, 2, 2, 3, 4]
+
+
 def test_cotraining_odd(spark):
     schema = "doc_id bigint, quality int, toxic int"
     some = spark.createDataFrame([(7, 1, 0), (7, 0, 1), (None, 1, 1), (2, None, None), (99, 1, 1)], schema)
