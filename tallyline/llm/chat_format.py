@@ -2,7 +2,8 @@
 
 Turns are rendered as `<|role|>\\n`, the text, `<|end|>\\n`. Inside texts `<|` never stands: `<`, any number of backslashes
 and `|` get one backslash more, which reading takes away again. A conversation is rendered whole and encoded once with
-character offsets; sorted spans of the answers meet the sorted spans of the tokens by binary search.
+character offsets; sorted spans of the answers meet the sorted spans of the tokens by binary search. Ids, offsets and masks
+go from the tokenizer to the writer as Arrow arrays, some conversations at a time.
 """
 
 from __future__ import annotations
@@ -13,18 +14,29 @@ from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.common import id_key, key_id, session
+from tallyline.llm.token_orc import sliced
 
 END_TURN = "<|end|>\n"
 #: Characters after which a rendered conversation goes on in a further row. A turn is never cut. A new row starts with "<"
 #: after a line end, where the tokenizer always starts anew, so the ids are those of the whole.
 ROW_CHARS = 1 << 20
+#: Characters whose tokens are Python objects at once, and characters of rows that go to the writer at once.
+PIECE, BATCH_CHARS = 1 << 16, 1 << 18
+#: Between such a character and a space or a line end no piece of a byte-level BPE reaches.
+CUT = re.compile(r"[!-~](?=[ \n])")
+#: For the table of formatted conversations: row groups stay small even if single rows are large, so that neither the writer
+#: nor the batches of the vectorised reader, which never reach over a row group, hold many large rows.
+STORED = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
 
 ROWS = "k bigint, part bigint, n_turns bigint, formatted string, spans array<struct<start:bigint,stop:bigint>>, ids array<int>, starts array<int>, stops array<int>, mask array<boolean>"
+COUNTS = ["n_turns", "loss_chars", "formatted_chars", "n_ids", "n_loss_ids"]
+SAID = "k bigint, part bigint, turns binary, loss binary, " + ", ".join(f"{c} bigint" for c in COUNTS)
+DIGESTS = "k bigint, turns_sha256 string, loss_sha256 string, " + ", ".join(f"{c} bigint" for c in COUNTS)
 
 
 def escaped(text: str) -> str:
@@ -66,6 +78,21 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def encoded(tokenizer, text: str, added: list[str], most: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a text, and (start, stop) of each in characters; long texts are encoded a piece at a time, with the same result.
+    added: what the tokenizer looks for before it parts a text; a text that holds such a string is encoded whole."""
+    ids, offsets, at = [], [], 0
+    whole = len(text) <= most or any(a in text for a in added)
+    while at < len(text):
+        cut = None if whole else CUT.search(text, at + most - 1)
+        to = cut.end() if cut else len(text)
+        e = tokenizer.encode(text[at:to], add_special_tokens=False)
+        ids.append(np.array(e.ids, dtype=np.int32))
+        offsets.append(np.array(e.offsets, dtype=np.int32).reshape(-1, 2) + np.int32(at))
+        at = to
+    return np.concatenate([np.empty(0, np.int32), *ids]), np.concatenate([np.empty((0, 2), np.int32), *offsets])
+
+
 def format_conversations(conversations: DataFrame, tokenizer: str, answers: tuple[str, ...] = ("assistant",), row_chars: int = ROW_CHARS) -> DataFrame:
     """Renders, encodes and masks conversations.
 
@@ -78,22 +105,25 @@ def format_conversations(conversations: DataFrame, tokenizer: str, answers: tupl
     columns = id_key("conv_id").alias("k"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     rows = conversations.select(*columns).repartition("k").sortWithinPartitions("k", "turn", "role", "text")
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, part, turns, pieces, spans, size = None, 0, 0, [], [], 0
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _tokenizer(tokenizer)
+        added = [x.content for x in t.get_added_tokens_decoder().values()]
+        key, part, turns, pieces, spans, size, done, chars = None, 0, 0, [], [], 0, [], 0
 
         def row() -> tuple:
-            text = "".join(pieces)
-            e = _tokenizer(tokenizer).encode(text, add_special_tokens=False)
-            offsets = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
-            mask = token_mask(offsets, np.array([s for s in spans if s[0] < s[1]], dtype=np.int64).reshape(-1, 2))
-            return key, part, turns, text, [{"start": a, "stop": b} for a, b in spans], e.ids, offsets[:, 0].tolist(), offsets[:, 1].tolist(), mask.tolist()
-
-        for pdf in frames:
-            done = []
-            for k, role, text in zip(pdf["k"].tolist(), pdf["role"], pdf["text"], strict=True):
+            text, own = "".join(pieces), np.array(spans, dtype=np.int64).reshape(-1, 2)
+            ids, offsets = encoded(t, text, added)
+            return key, part, turns, text, own, ids, offsets, token_mask(offsets, own[own[:, 0] < own[:, 1]])
+
+        for batch in (x for whole in batches for x in sliced(whole)):
+            for k, role, text in zip(*(batch.column(c).to_pylist() for c in ("k", "role", "text")), strict=True):
                 if k != key or size >= row_chars:
                     if turns:
                         done.append(row())
+                        chars += size
+                    if chars >= BATCH_CHARS:
+                        yield _batch(done)
+                        done, chars = [], 0
                     part = part + 1 if k == key else 0
                     key, turns, pieces, spans, size = k, 0, [], [], 0
                 head, body = render(role, text)
@@ -102,15 +132,27 @@ def format_conversations(conversations: DataFrame, tokenizer: str, answers: tupl
                 pieces += [head, body, END_TURN]
                 size += len(head) + len(body) + len(END_TURN)
                 turns += 1
-            yield _frame(done)
         if turns:
-            yield _frame([row()])
+            yield _batch([*done, row()])
+
+    return rows.mapInArrow(work, ROWS).select(key_id().alias("conv_id"), "part", "n_turns", "formatted", "spans", "ids", "starts", "stops", "mask")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    keys, parts, turns, texts, spans, ids, offsets, masks = zip(*rows, strict=True)
+
+    def ends(lists: tuple) -> pa.Array:
+        return pa.array(np.append(0, np.cumsum(list(map(len, lists)))), pa.int32())
 
-    return rows.mapInPandas(work, ROWS).select(key_id().alias("conv_id"), "part", "n_turns", "formatted", "spans", "ids", "starts", "stops", "mask")
+    pairs, both, at = np.concatenate(spans), np.concatenate(offsets), ends(ids)
+    own = pa.StructArray.from_arrays([pa.array(x) for x in pairs.T], names=["start", "stop"])
+    columns = [pa.array(x, pa.int64()) for x in (keys, parts, turns)] + [pa.array(texts, pa.string()), pa.ListArray.from_arrays(ends(spans), own)]
+    columns += [pa.ListArray.from_arrays(at, pa.array(x)) for x in (np.concatenate(ids), *both.T, np.concatenate(masks))]
+    return pa.RecordBatch.from_arrays(columns, names=["k", "part", "n_turns", "formatted", "spans", "ids", "starts", "stops", "mask"])
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["k", "part", "n_turns", "formatted", "spans", "ids", "starts", "stops", "mask"])
+def _table(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def masked_text(text: str, spans: list[tuple[int, int]], starts: np.ndarray, stops: np.ndarray) -> list[str]:
@@ -131,32 +173,47 @@ def read_back(formatted: DataFrame) -> DataFrame:
     null conv_id stays null; an empty table gives an empty result.
     """
     session(formatted)
-    under = F.filter(F.arrays_zip(F.col("mask").alias("m"), F.col("starts").alias("a"), F.col("stops").alias("b")), lambda x: x["m"])
-    rows = formatted.select(id_key("conv_id").alias("k"), "part", "formatted", "spans", F.size("ids").cast("bigint").alias("n"), under.alias("u"))
-    rows = rows.select("k", "part", "formatted", "spans", "n", F.size("u").cast("bigint").alias("m"), F.col("u.a").alias("starts"), F.col("u.b").alias("stops"))
-    rows = rows.repartition("k").sortWithinPartitions("k", "part")
-    names = ["k", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_ids", "n_loss_ids"]
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, turns, loss, counts = None, None, None, None
-        for pdf in frames:
-            done = []
-            for k, text, spans, n, m, starts, stops in zip(pdf["k"].tolist(), pdf["formatted"], pdf["spans"], pdf["n"].tolist(), pdf["m"].tolist(), pdf["starts"], pdf["stops"], strict=True):
-                if k != key:
-                    if counts:
-                        done.append((key, counts[0], turns.hexdigest(), counts[1], loss.hexdigest(), *counts[2:]))
-                    key, turns, loss, counts = k, sha256(), sha256(), [0, 0, 0, 0, 0]
-                for role, body, _, _ in parse(text):
-                    turns.update(f"{role}\n{body}\n".encode())
-                    counts[0] += 1
-                for piece in masked_text(text, [(s["start"], s["stop"]) for s in spans], np.asarray(starts, dtype=np.int64), np.asarray(stops, dtype=np.int64)):
-                    answer = unescaped(piece)
-                    loss.update(answer.encode())
-                    counts[1] += len(answer)
-                counts[2], counts[3], counts[4] = counts[2] + len(text), counts[3] + n, counts[4] + m
-            yield pd.DataFrame(done, columns=names)
-        if counts:
-            yield pd.DataFrame([(key, counts[0], turns.hexdigest(), counts[1], loss.hexdigest(), *counts[2:])], columns=names)
-
-    out = rows.mapInPandas(work, "k bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_ids bigint, n_loss_ids bigint")
-    return out.select(key_id().alias("conv_id"), *names[1:])
+    rows = formatted.select(id_key("conv_id").alias("k"), "part", "formatted", "spans", F.size("ids").cast("bigint").alias("n_ids"), "starts", "stops", "mask")
+    rows = rows.mapInArrow(_said, SAID).repartition("k").sortWithinPartitions("k", "part")
+    return rows.mapInArrow(_digests, DIGESTS).select(key_id().alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_ids", "n_loss_ids")
+
+
+def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each stored row: role, line end, text, line end of its turns; its unescaped answers as the mask has them; counts."""
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * len(COUNTS)]
+    names, done, chars = ["k", "part", "turns", "loss", *COUNTS], [], 0
+    for batch in batches:
+        lists = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values) for c in ("spans", "starts", "stops", "mask")}
+        for i, (k, part, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("k", "part", "n_ids")), strict=True)):
+            text, own = batch.column("formatted")[i].as_py(), {c: values[at[i] : at[i + 1]] for c, (at, values) in lists.items()}
+            mask, starts, stops = (own[c].to_numpy(zero_copy_only=False) for c in ("mask", "starts", "stops"))
+            turns = [f"{role}\n{body}\n" for role, body, _, _ in parse(text)]
+            spans = zip(*(own["spans"].field(c).to_pylist() for c in ("start", "stop")), strict=True)
+            loss = "".join(map(unescaped, masked_text(text, list(spans), starts[mask], stops[mask])))
+            done.append((k, part, "".join(turns).encode(), loss.encode(), len(turns), len(loss), len(text), n, int(mask.sum())))
+            chars += len(text)
+            if chars >= BATCH_CHARS:
+                yield _table(done, kinds, names)
+                done, chars = [], 0
+    if done:
+        yield _table(done, kinds, names)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests and sums of the rows of each conversation, which stream by."""
+    kinds, names = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * len(COUNTS)], ["k", "turns_sha256", "loss_sha256", *COUNTS]
+    key, turns, loss, counts = None, None, None, None
+    for batch in batches:
+        done = []
+        for k, more, answers, *own in zip(batch.column("k").to_pylist(), batch.column("turns"), batch.column("loss"), *(batch.column(c).to_pylist() for c in COUNTS), strict=True):
+            if k != key:
+                if counts:
+                    done.append((key, turns.hexdigest(), loss.hexdigest(), *counts))
+                key, turns, loss, counts = k, sha256(), sha256(), [0] * len(COUNTS)
+            turns.update(more.as_buffer())
+            loss.update(answers.as_buffer())
+            counts = [a + b for a, b in zip(counts, own, strict=True)]
+        if done:
+            yield _table(done, kinds, names)
+    if counts:
+        yield _table([(key, turns.hexdigest(), loss.hexdigest(), *counts)], kinds, names)

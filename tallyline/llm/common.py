@@ -115,10 +115,10 @@ def eased(spark: SparkSession) -> None:
     sc._tallyline_heap = least
 
 
-def written(df: DataFrame, label: str, path: str | None = None, outer: bool = False) -> DataFrame:
+def written(df: DataFrame, label: str, path: str | None = None, outer: bool = False, options: dict[str, str] | None = None) -> DataFrame:
     """Cuts the lineage: writes the frame as Parquet to the shared folder and reads it back."""
     path = path or new_path(df.sparkSession, label, outer)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     eased(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

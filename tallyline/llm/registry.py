@@ -52,7 +52,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], rows.schema))
-    stored = written(chat_format.format_conversations(rows, _path("byte_bpe_50k.json")), "chat", new_path(spark, "chat"))
+    stored = written(chat_format.format_conversations(rows, _path("byte_bpe_50k.json")), "chat", new_path(spark, "chat"), options=chat_format.STORED)
     return chat_format.read_back(stored).drop("n_ids", "n_loss_ids")
 
 

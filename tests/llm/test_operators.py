@@ -569,6 +569,51 @@ def test_loss_text_comes_from_the_mask(spark):
     assert chat_format.read_back(every).first().loss_sha256 == good.loss_sha256
 
 
+@pytest.mark.parametrize("words", [500, 60_000])
+def test_chat_memory(spark, monkeypatch, words):
+    """Many conversations, or one that goes on over many rows, leave a task as batches of few characters, and tokens are Python objects a piece at a time."""
+    rng, sent = random.Random(5), []
+    for name in ("mapInPandas", "mapInArrow"):
+        made = getattr(type(spark.range(0)), name)
+        monkeypatch.setattr(type(spark.range(0)), name, lambda self, f, schema, name=name, made=made: sent.append((name, f)) or made(self, f, schema))
+    df = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    chat_format.read_back(chat_format.format_conversations(df, BPE, row_chars=1 << 18))
+    assert len(sent) >= 2
+    turns = [prose(rng, words) for _ in range(1_000_000 // words)]
+    keys = pa.array([7] * len(turns) if words > 500 else range(len(turns)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([keys, pa.array(["assistant"] * len(turns)), pa.array(turns)], names=["k", "role", "text"])
+
+    def run(step, given):
+        """The texts of a step's output, and the most of them at once, with the peak of Python's memory."""
+        name, f = sent[step]
+        given = [b.to_pandas() if name == "mapInPandas" else b for b in given]
+        tracemalloc.start()
+        out, most = [], 0
+        for b in f(iter(given)):
+            b = b if isinstance(b, pa.RecordBatch) else pa.RecordBatch.from_pandas(b)
+            out.append(b)
+            most = max(most, b.nbytes)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most, peak
+
+    chat_format._tokenizer(BPE)
+    out, most, peak = run(0, [batch])
+    assert sum(len(t) for b in out for t in b.column("formatted").to_pylist()) == sum(map(len, turns)) + len("<|assistant|>\n<|end|>\n") * len(turns)
+    assert most < 16 << 20 and peak < 60 << 20, (most, peak)
+
+
+@pytest.mark.parametrize("most", [1, 7, 50])
+def test_chat_pieces(most):
+    """A text that is encoded a piece at a time has the ids and offsets of the whole."""
+    t, rng = chat_format._tokenizer(BPE), random.Random(8)
+    texts = [x or "" for x in ODD] + [prose(rng, 300), "".join(rng.choice(" \n\t\x0b\x85\xa0\u2003\u3000ab.,'s|<>é日1") for _ in range(4000)), "a <|endoftext|> b " * 9, "x" * 400]
+    for text in texts:
+        ids, offsets = chat_format.encoded(t, text, ["<|endoftext|>"], most)
+        whole = t.encode(text, add_special_tokens=False)
+        assert ids.tolist() == whole.ids and list(map(tuple, offsets.tolist())) == whole.offsets
+
+
 # ---- 8 ----
 
 
