@@ -29,9 +29,10 @@ ROW_CHARS = 1 << 20
 PIECE, BATCH_CHARS = 1 << 16, 1 << 18
 #: Between such a character and a space or a line end no piece of a byte-level BPE reaches.
 CUT = re.compile(r"[!-~](?=[ \n])")
-#: For the table of formatted conversations: row groups stay small even if single rows are large, so that neither the writer
-#: nor the batches of the vectorised reader, which never reach over a row group, hold many large rows.
-STORED = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
+#: For the table of formatted conversations: row groups stay small even if large rows follow many small ones (their size is
+#: looked at after every row), so that neither the writer nor a batch of the vectorised reader, which never reaches over a row
+#: group and takes some 60 bytes of heap for each token, holds many large rows.
+STORED = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 
 ROWS = "k bigint, part bigint, n_turns bigint, formatted string, spans array<struct<start:bigint,stop:bigint>>, ids array<int>, starts array<int>, stops array<int>, mask array<boolean>"
 COUNTS = ["n_turns", "loss_chars", "formatted_chars", "n_ids", "n_loss_ids"]

@@ -11,6 +11,7 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -603,6 +604,19 @@ def test_chat_memory(spark, monkeypatch, words):
     assert most < 16 << 20 and peak < 60 << 20, (most, peak)
 
 
+def test_chat_row_groups(spark, tmp_path):
+    """Large rows that follow many small ones do not meet in one row group."""
+    rng = random.Random(6)
+    rows = [(c, 0, "user", "a few words") for c in range(1000)] + [(2000, t, "assistant", prose(rng, 10_000)) for t in range(120)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1)
+    made = chat_format.format_conversations(df, BPE, row_chars=1 << 16).coalesce(1).sortWithinPartitions("conv_id", "part")
+    written(made, "chat", f"file://{tmp_path}/chat", options=chat_format.STORED)
+    (file,) = (tmp_path / "chat").glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    groups = [meta.row_group(i) for i in range(meta.num_row_groups)]
+    assert meta.num_rows > 1030 and max(g.total_byte_size for g in groups) < 8 << 20, [(g.num_rows, g.total_byte_size) for g in groups]
+
+
 @pytest.mark.parametrize("most", [1, 7, 50])
 def test_chat_pieces(most):
     """A text that is encoded a piece at a time has the ids and offsets of the whole."""
