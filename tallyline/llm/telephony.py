@@ -10,22 +10,24 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 
 from tallyline.llm.common import id_key, key_id, new_path, session, text_bytes
+from tallyline.llm.token_orc import sliced
 
 UNIT, RATE = 64, 8000
 #: Level of the zstd compression of the stored columns: samples repeat, but with other bytes between, so a low one is weak.
 #: A page holds PAGE bytes, as a sample of PCM takes four times the room of a character and repeats lie as much farther apart.
-LEVEL, PAGE = 11, 8 << 20
-#: Bytes of text whose media are made at once.
-SLICE = 4 << 20
+#: A row group holds GROUP bytes, of its last pages as they are and of the others compressed: a reader takes some 4,096 rows of a
+#: group at once. How much there is, is looked at after every row.
+LEVEL, PAGE, GROUP = 11, 8 << 20, 12 << 20
+STORED = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(LEVEL), "parquet.page.size": str(PAGE), "parquet.block.size": str(GROUP), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+#: Bytes of text whose media are made at once, and of media that are read at once.
+SLICE = 1 << 20
 #: WAV format tags; fixed by the file format.
 FORMATS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 #: Step change for each ADPCM code of three bits; fixed values of the codec.
@@ -167,11 +169,17 @@ def loudness(pcm: np.ndarray) -> str:
     return f"{square // len(pcm)}.{total // len(pcm)}.{peak}.{changes}"
 
 
-def _slices(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Rows whose texts begin within the same SLICE bytes."""
-    size = pdf["text"].map(len)
-    for _, rows in pdf.groupby((size.cumsum() - size) // SLICE):
-        yield rows.reset_index(drop=True)
+def _parts(rows: Iterator[Row], most: int) -> Iterator[list[Row]]:
+    """Rows whose media, or what is last in them where there are none, begin within the same `most` bytes."""
+    part, size = [], 0
+    for row in rows:
+        part.append(row)
+        size += len(row.media or row[-1] or b"") + UNIT
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def store_media(docs: DataFrame, path: str | None = None, codec: str = "mulaw", rate: int = RATE, pcm_rate: int | None = None) -> str:
@@ -186,16 +194,17 @@ def store_media(docs: DataFrame, path: str | None = None, codec: str = "mulaw",
     path = path or new_path(spark, "media")
     names = ["k", "n_bytes", "media"] + ["pcm"] * bool(pcm_rate)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in chain.from_iterable(map(_slices, frames)):
-            loads = [padded(t) for t in pdf["text"]]
-            out = pd.DataFrame({"k": pdf["k"], "n_bytes": [len(t) for t in pdf["text"]], "media": [wav(x, codec, rate) for x in loads]})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in sliced(whole, SLICE)):
+            texts = batch.column("text").to_pylist()
+            loads = [padded(t) for t in texts]
+            columns = [batch.column("k"), pa.array([len(t) for t in texts], pa.int64()), pa.array([wav(x, codec, rate) for x in loads], pa.binary())]
             if pcm_rate:
-                out["pcm"] = [resample(expand(x, codec), rate, pcm_rate).astype("<i2").tobytes() for x in loads]
-            yield out
+                columns.append(pa.array([resample(expand(x, codec), rate, pcm_rate).astype("<i2").tobytes() for x in loads], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = docs.select(id_key().alias("k"), text_bytes().alias("text")).sortWithinPartitions("text").mapInPandas(work, "k bigint, n_bytes bigint, media binary" + ", pcm binary" * bool(pcm_rate))
-    rows.select(key_id().alias("doc_id"), *names[1:]).write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": str(LEVEL), "parquet.page.size": str(PAGE)}).parquet(path)
+    rows = docs.select(id_key().alias("k"), text_bytes().alias("text")).sortWithinPartitions("text").mapInArrow(work, "k bigint, n_bytes bigint, media binary" + ", pcm binary" * bool(pcm_rate))
+    rows.select(key_id().alias("doc_id"), *names[1:]).write.options(**STORED).parquet(path)
     return path
 
 
@@ -204,33 +213,24 @@ def media_features(media: DataFrame, pcm_rate: int = 2 * RATE) -> DataFrame:
 
     The features are loudness figures of the resampled expansion, of the payload read as A-law, and of it read as ADPCM blocks.
     The first are those of the stored pcm where there is such a column (pcm_rate is not used then). Where media is null, so
-    are all of the figures; a null pcm counts as no samples; other columns, of whatever name, are ignored.
+    are all of the figures; a null pcm counts as no samples; other columns, of whatever name, are ignored. Rows come to
+    Python through an RDD, so shuffles that `media` itself needs run when this is called.
     """
-    session(media)
+    spark = session(media)
     stored = ["pcm"] * ("pcm" in media.columns)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            opened = [unwav(m) for m in pdf["media"]]  # no nulls: they went another way
-            kept = pdf["pcm"] if stored else [None] * len(pdf)
-            for m, pcm, (payload, codec, rate), blocks in zip(pdf["media"], kept, opened, expand_adpcm([padded(p) for p, _, _ in opened]), strict=True):
-                linear = np.frombuffer(pcm or b"", dtype="<i2") if stored else resample(expand(payload, codec), rate, pcm_rate)
+    def work(rows: Iterator[Row]) -> Iterator[tuple]:
+        for part in _parts(rows, SLICE):
+            yield from ((r.k, r.n_bytes, *[None] * 6) for r in part if r.media is None)
+            part = [r for r in part if r.media is not None]
+            opened = [unwav(r.media) for r in part]
+            for r, (payload, codec, rate), blocks in zip(part, opened, expand_adpcm([padded(p) for p, _, _ in opened]), strict=True):
+                linear = np.frombuffer(r.pcm or b"", dtype="<i2") if stored else resample(expand(payload, codec), rate, pcm_rate)
                 feature = "|".join((loudness(linear), loudness(expand(payload, "alaw")), loudness(blocks)))
-                rows.append((len(payload), sha256(payload).hexdigest(), crc32(payload[-UNIT:]), len(m), sha256(m).hexdigest(), feature))
-            made = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            yield pd.concat([pdf[["k", "n_bytes"]].reset_index(drop=True), made], axis=1)
+                yield r.k, r.n_bytes, len(payload), sha256(payload).hexdigest(), crc32(payload[-UNIT:]), len(r.media), sha256(r.media).hexdigest(), feature
 
     schema = "k bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        for pdf in frames:
-            there = pdf["media"].notna()
-            if there.any():
-                yield from work(iter([pdf[there]]))
-            if not there.all():
-                yield pdf.loc[~there, ["k", "n_bytes"]].assign(**dict.fromkeys(names))
-
-    out = media.select(id_key().alias("k"), "n_bytes", "media", *stored).mapInPandas(each, schema)
+    # not in Arrow, whose batches of 64 MB for each task lie beside the heap, in the JVM and again in Python
+    rows = media.select(id_key().alias("k"), "n_bytes", "media", *stored).rdd.mapPartitions(work)
+    out = spark.createDataFrame(rows, schema, verifySchema=False)
     return out.select(key_id().alias("doc_id"), *out.columns[1:])

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import tracemalloc
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -14,6 +15,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyline.llm import chat_format, common, components, cotraining, decontaminate, exchange, line_dedup, lm_scoring, sentencepiece_stream, simhash, substring_dedup, telephony, token_orc
@@ -363,6 +365,30 @@ def test_query_stores_pcm(spark, monkeypatch):
     assert {r.feature.split("|")[0] for r in silent} == {"0.0.0.0"}
 
 
+def test_media_stored_and_read_in_small_parts(spark):
+    """Row groups stay small, and few rows are held at once, however many a task has; nulls and a long text among them."""
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(bytes(range(32, 127)), np.uint8)
+    texts = [letters[rng.integers(0, 95, n)].tobytes().decode() for n in [8000] * 900 + [3_000_000]]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id bigint, text string").coalesce(1)
+    path = telephony.store_media(docs, pcm_rate=16000)
+    groups = [m.row_group(i) for f in Path(path.removeprefix("file://")).glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == len(texts) + 2
+    assert len(groups) > 1 and max(sum(g.column(i).total_compressed_size for i in range(g.num_columns)) for g in groups) <= 20 << 20
+    stored = spark.read.parquet(path)
+    stored = stored.withColumn("media", F.when(F.col("doc_id") != 3, F.col("media")))
+    out = {r.doc_id: r for r in telephony.media_features(stored).collect()}
+    assert len(out) == len(texts) + 2 and out[3].n_bytes == 8000 and out[3].media_sha256 is None
+    for d, t in enumerate([*texts, "", ""]):
+        load = telephony.padded(t.encode())
+        assert d == 3 or out[d].payload_sha256 == hashlib.sha256(load).hexdigest()
+    for d in (0, 899, 901):
+        assert out[d].feature == plain_feature([*texts, "", ""][d].encode())
+    rows = [Row(media=b"x" * 136 if n else None, pcm=bytes(n or 936)) for n in [1000] * 50 + [0, 0, 1]]
+    parts = list(telephony._parts(iter(rows), 1000))
+    assert [r for p in parts for r in p] == rows and [len(p) for p in parts] == [5] * 10 + [1, 1, 1]
+
+
 # ---- 5 ----
 
 
